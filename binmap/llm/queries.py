@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, syncmers, token_counts, url_filter, warc
+from . import kneser_ney, packing, sharding, syncmers, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -57,6 +57,13 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(sharded, "shard").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, by a model of those that aren't held out."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", kneser_ney.held_out(F.col("doc_id")))
+    model = kneser_ney.train(docs.where(~F.col("held_out")))
+    return kneser_ney.score(docs, model).withColumn("train_tokens", F.lit(model.n).cast("long"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to monolithic archives, normalised and read back."""
     return warc.round_trip(_table(spark, sf_dir, "pages", "page_id", "url", "html"))

@@ -271,3 +271,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         label = components(links.select("a", "b").unionByName(more.select("a", "b")))
     named = texts.join(label, "id", "left").select(F.col("key"), F.coalesce("component", "id").alias("class_id"))
     return signed.select("id", "key").join(named, "key").select(F.col("id").alias("doc_id"), "class_id", "key")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each class: that of the least doc_id (of rows that repeat it, or of nulls only, any one)."""
+    found = classes(docs, doc_id, text)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    digest = F.sha1(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))
+    chosen = docs.withColumn("__text", digest).join(kept, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
+    return chosen.dropDuplicates([doc_id, "__text"]).drop("__text")

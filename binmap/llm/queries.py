@@ -21,11 +21,14 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """docs as best_fit() takes them; exact copies are a cluster."""
+    return docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), packing.size_of(F.col("text")).alias("size"))
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in bins of CAPACITY words; exact copies are a cluster."""
-    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    sized = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), packing.size_of(F.col("text")).alias("size"))
-    return packing.best_fit(sized)
+    """All documents in bins of CAPACITY words."""
+    return packing.best_fit(sized(_table(spark, sf_dir, "documents", "doc_id", "text", "source")))
 
 
 def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

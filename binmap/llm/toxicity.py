@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained apart: one on windows of ordinary text, one on toxic text, reduced to the words that
-hold character n-grams which toxic documents have significantly more often (else it would learn the common
-language again). A window is compressed against the ordinary dictionary, and against the toxic one in front of the
+toxic documents have significantly more often, or that hold character n-grams they have so (else it would learn the
+common language again). A window is compressed against the ordinary dictionary, and against the toxic one in front of the
 ordinary one; the bytes that the toxic dictionary saves are its distance. A document's score is the calibrated
 probability, by a logistic regression on its windows' savings, with the labels' true proportions.
 
@@ -16,6 +16,7 @@ the labelled rows lack one of the labels, every score is the share of toxic labe
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -31,8 +32,8 @@ FIT_DOCS = {1: 800, 0: 1600}
 WINDOW, GRAM = 24, 5
 LEVEL = 12
 ORDINARY_BYTES, TOXIC_BYTES = 16 << 10, 4 << 10
-#: An n-gram is toxic text's own from so many standard deviations on, and in so many documents.
-DEVIATIONS, LEAST_DOCS = 7.0, 3
+#: A word or n-gram is toxic text's own from so many standard deviations on, and in so many documents; the first OWN of them count.
+WORD_DEVIATIONS, GRAM_DEVIATIONS, LEAST_DOCS, OWN = 5.0, 12.0, 3, 200
 THRESHOLD = 0.3
 
 
@@ -50,6 +51,11 @@ def windows(text: str | None) -> list[bytes]:
     return [" ".join(words[i : i + WINDOW]).encode() for i in range(0, len(words), WINDOW)]
 
 
+def _bare(text: str) -> list[str]:
+    """Words without punctuation at their ends."""
+    return [w for x in text.lower().split() if (w := x.strip(".,;:!?()\"'"))]
+
+
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
     """A trained dictionary; of too few samples for the trainer, their end."""
     try:
@@ -59,24 +65,40 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
 
 
 def _own_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """The words of each toxic text that hold an n-gram which toxic texts have significantly more often."""
+    """The words of each toxic text that toxic texts have significantly more often, or that hold an n-gram they have so."""
 
-    def grams(texts: list[str]) -> Counter:
+    def features(texts: list[str]) -> Counter:
         out: Counter = Counter()
         for t in texts:
-            t = " ".join(t.lower().split())
-            out.update({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)})
+            words = set(_bare(t))
+            out.update({f" {w} " for w in words} | {w[i : i + GRAM] for w in words for i in range(len(w) - GRAM + 1)})
         return out
 
-    there, here = grams(ordinary), grams(toxic)
+    there, here = features(ordinary), features(toxic)
     a, b = len(toxic), len(ordinary)
 
     def deviations(g: str) -> float:
         p = (here[g] + there[g]) / (a + b)
         return (here[g] / a - there[g] / b) / (math.sqrt(p * (1 - p) * (1 / a + 1 / b)) or 1)
 
-    own = {g for g, n in here.items() if n >= LEAST_DOCS and deviations(g) >= DEVIATIONS}
-    return [f" {w} ".encode() for t in toxic for w in dict.fromkeys(t.lower().split()) if any(w[i : i + GRAM] in own for i in range(len(w) - GRAM + 1))]
+    least = lambda g: WORD_DEVIATIONS if g[0] == " " else GRAM_DEVIATIONS
+    ranked = sorted(((-deviations(g), g) for g, n in here.items() if n >= LEAST_DOCS), key=lambda x: x)
+    own = {g for d, g in [(d, g) for d, g in ranked if -d >= least(g)][:OWN]}
+    held = lambda w: f" {w} " in own or any(w[i : i + GRAM] in own for i in range(len(w) - GRAM + 1))
+    return [f" {w} ".encode() for t in toxic for w in dict.fromkeys(_bare(t)) if held(w)]
+
+
+def _distinct(texts: list[str]) -> list[str]:
+    """The texts without near copies of earlier ones, which would make their words look frequent."""
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        w = t.lower().split()
+        least = set(sorted({zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))})[:3])
+        if not least & seen:
+            out.append(t)
+        seen |= least
+    return out
 
 
 class Scorer:
@@ -122,7 +144,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, importance: np.ndarray, decay: float
 
 def fit(dictionary: Sequence[tuple[str, int]], calibration: Sequence[tuple[str, int]], toxic: int, ordinary: int) -> Model:
     """The model of (text, label) rows; toxic and ordinary: how many of all labels are which."""
-    by = {k: [t for t, label in dictionary if label == k] for k in (0, 1)}
+    by = {k: _distinct([t for t, label in dictionary if label == k]) for k in (0, 1)}
     share = toxic / max(1, toxic + ordinary)
     y = np.array([label for _, label in calibration], float)
     if not by[0] or not by[1] or not 0 < y.sum() < len(y):

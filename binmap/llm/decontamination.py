@@ -34,22 +34,22 @@ BLOCK_ITEMS = 5_000
 LENGTHS = (1, 2, 3, 4, 5, 7, 9, 12, 16, 22, 30, 40, 54, 73, 99, 134, 181, 245)
 #: Words by which starts and lengths of a verified passage are moved.
 SLACK = 2
-_STEP = 16_384
+_STEP = 4_096
 
 
-def _signs(words: np.ndarray) -> np.ndarray:
-    """Running sums of the words' bits as +1 and -1, modulo 2**16."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
-    out = np.zeros((len(words) + 1, 64), np.int16)
-    np.cumsum(2 * bits - 1, axis=0, dtype=np.int16, out=out[1:])
+def _sums(words: np.ndarray) -> np.ndarray:
+    """Running counts of the words' set bits, modulo 256: enough for windows of fewer words."""
+    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
+    out = np.zeros((len(words) + 1, 64), np.uint8)
+    np.cumsum(bits, axis=0, dtype=np.uint8, out=out[1:])
     return out
 
 
 def fingerprints(sums: np.ndarray, length: int) -> np.ndarray:
-    """SimHashes of all windows of so many words, from the running sums."""
+    """SimHashes of all windows of so many words, from the running counts: the bits that more than half of the words have."""
     if len(sums) <= length:
         return np.empty(0, np.uint64)
-    return np.packbits((sums[length:] - sums[:-length]) > 0, axis=1).view(np.uint64).ravel()
+    return np.packbits(sums[length:] - sums[:-length] > length // 2, axis=1).view(np.uint64).ravel()
 
 
 def _variants(value: int, errors: int) -> list[int]:
@@ -82,7 +82,7 @@ class Index:
         for i, n in enumerate(self.sizes):
             if n:
                 length = max(x for x in LENGTHS if x <= n)
-                made = fingerprints(_signs(words[first[i] : first[i + 1]]), length)
+                made = fingerprints(_sums(words[first[i] : first[i + 1]]), length)
                 for at in {0, int(n) - length}:
                     windows.setdefault(length, []).append((int(made[at]), i, at))
         self.windows = {}
@@ -138,7 +138,7 @@ class Index:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for a in range(0, len(words), _STEP):
             part = words[a : a + _STEP + longest - 1]
-            sums = _signs(part)
+            sums = _sums(part)
             for length, (_, items, before, _) in self.windows.items():
                 own = sums[: min(len(sums), _STEP + length)]
                 at, w = self.near(own, length)
@@ -171,8 +171,6 @@ class Index:
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for c in likely.tolist():
             i, n = int(item[c]), int(self.sizes[item[c]])
-            anchor = min(max(int(start[c]), 0), len(words) - 1)
-            d = int(doc[anchor] if start[c] >= 0 else doc[0])
             d = int(doc[min(max(int(start[c]) + n // 2, 0), len(words) - 1)])
             low, high = int(first[d]), int(first[d + 1])
             for s in range(max(low, int(start[c]) - SLACK), min(high, int(start[c]) + SLACK + 1)):

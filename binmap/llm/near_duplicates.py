@@ -5,9 +5,9 @@
    LEAST_WEIGHT + (1 - LEAST_WEIGHT) * log((N + 1) / df) / log(N + 1): common shingles count less, but never so little that
    the few edits of a large group of copies outweigh all they share.
 2. Each distinct text is sampled BANDS * ROWS times; texts that agree in a whole band share a bucket.
-3. In each bucket every text is compared with the bucket's least document (a star, not all pairs), by the exact
-   weighted Jaccard similarity of their shingles. Links make components. Then all pairs of a bucket that still lie in
-   different components are compared, unless their total weights alone keep them below the threshold. So no link between
+3. In each bucket every text is compared with the bucket's hub (a star, not all pairs), by the exact weighted Jaccard
+   similarity of their shingles. Links make components. Buckets in several components get STARS stars around other
+   members; then all pairs of a bucket that still lie in different components are compared, unless their total weights alone keep them below the threshold. So no link between
    texts that share a bucket is lost, and no pairs within a group are made.
 4. Classes are the components; the class id is its least doc_id.
 
@@ -38,6 +38,8 @@ SKETCH_ROWS, SKETCH_BITS, BLOCK_BITS = 2, 19, 14
 #: Bits of the filter that keeps texts without candidates from being shuffled (8 MB).
 FILTER_BITS = 26
 _TABLE = 12
+#: Stars around other members, before all pairs are compared that still lie apart.
+STARS = 2
 
 
 def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,6 +241,22 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
     return pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _star(members: DataFrame, hubs: DataFrame, apart: str | None = None) -> DataFrame:
+    """Distinct pairs (a < b) of each member with its bucket's hub; apart: of those whose values of this column differ."""
+    at = members.join(hubs, "bucket").where("id <> hub")
+    if apart:
+        own = members.select(F.col("id").alias("hub"), F.col(apart).alias("__hub")).distinct()
+        at = at.join(own, "hub").where(F.col(apart) != F.col("__hub"))
+    return at.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(bucket, id, weight, component) of the buckets whose members lie in several components."""
+    own = members.join(label, "id", "left").select("bucket", "id", "weight", F.coalesce("component", "id").alias("component"))
+    several = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    return own.join(several, "bucket", "left_semi")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """For each row of docs its doc_id, class_id (the least doc_id of its class), and key (a digest of the text)."""
     spark = docs.sparkSession
@@ -252,16 +270,28 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     texts = signed.groupBy("key").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     named = texts.where(F.col("id").isNotNull())
     members = named.select("id", "weight", F.explode("bands").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(members.join(full, "bucket").select("bucket", "id", "weight", "least"), "near-buckets")
+    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(members.join(full, "bucket").select("bucket", "id", "weight", "n"), "near-buckets")
     vectors = written(_vectors(docs, members.select("id").distinct(), table), "near-vectors").dropDuplicates(["id"])
-    star = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    # The hub of a bucket is the text that meets most others in all its buckets: an original rather than one of its edited copies.
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    ranked = members.join(met, "id")
+    hubs = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("met", (-F.col("id")).alias("minus"))).alias("hub"))
+    star = written(_star(members, hubs), "near-star")
     links = written(_verified(star, vectors, threshold), "near-links")
     label = components(links.select("a", "b"))
+    for turn in range(STARS):
+        # Buckets that still lie in several components: a star around another member, chosen by a hash.
+        mixed = written(_mixed(members, label), "near-mixed")
+        if mixed.isEmpty():
+            break
+        hubs = mixed.groupBy("bucket").agg(F.max_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
+        new = written(_star(mixed, hubs, "component").join(star, ["a", "b"], "left_anti"), "near-star")
+        links = written(links.unionByName(_verified(new, vectors, threshold)), "near-links")
+        star = star.unionByName(new)
+        label = components(links.select("a", "b"))
     # What is left: pairs of a bucket in different components, whose weights allow the threshold.
-    own = members.join(label, "id", "left").select("bucket", "id", "weight", F.coalesce("component", "id").alias("component"))
-    mixed = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    own = written(own.join(mixed, "bucket", "left_semi"), "near-rest")
+    own = written(_mixed(members, label), "near-rest")
     one, two = own.alias("one"), own.alias("two")
     allowed = F.least("one.weight", "two.weight") >= F.greatest("one.weight", "two.weight") * (threshold - 1e-6)
     rest = one.join(two, (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.component") != F.col("two.component")) & allowed)

@@ -7,7 +7,7 @@
 2. Each distinct text is sampled BANDS * ROWS times; texts that agree in a whole band share a bucket.
 3. In each bucket every text is compared with the bucket's hub (a star, not all pairs), by the exact weighted Jaccard
    similarity of their shingles. Links make components. Buckets in several components get STARS stars around other
-   members; then all pairs of a bucket that still lie in different components are compared, unless their total weights alone keep them below the threshold. So no link between
+   members; then all pairs no link between
    texts that share a bucket is lost, and no pairs within a group are made.
 4. Classes are the components; the class id is its least doc_id.
 
@@ -38,6 +38,8 @@ SKETCH_ROWS, SKETCH_BITS, BLOCK_BITS = 2, 19, 14
 #: Bits of the filter that keeps texts without candidates from being shuffled (8 MB).
 FILTER_BITS = 26
 _TABLE = 12
+#: Parts of the hash range whose weights bound from above what two texts share.
+BINS = 64
 #: Stars around other members, before all pairs are compared that still lie apart.
 STARS = 2
 
@@ -175,10 +177,13 @@ def _signed(docs: DataFrame, table, bands: int, rows: int) -> DataFrame:
                 ends[full + 1] = bands
                 total = np.zeros(b - a)
                 total[full] = np.add.reduceat(w.astype(np.float64), edges[:-1][full]) if len(full) else []
+                of = np.repeat(np.arange(b - a), np.diff(edges))
+                spread = np.bincount(of * BINS + (h >> np.uint64(38)).astype(np.int64) % BINS, w, (b - a) * BINS).astype(np.float32)
+                bins = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BINS), pa.array(spread))
                 keys = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(key.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(total), keys], ["id", "key", "weight", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(total), bins, keys], ["id", "key", "weight", "bins", "bands"])
 
-    return docs.mapInArrow(run, "id long, key string, weight double, bands array<long>")
+    return docs.mapInArrow(run, "id long, key string, weight double, bins array<float>, bands array<long>")
 
 
 def _filter_of(ids: DataFrame) -> bytes:
@@ -267,7 +272,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     table = spark.sparkContext.broadcast(inverse_frequencies(sketch, documents))
     signed = written(_signed(docs.select("id", F.sha1(F.col("text").cast("binary")).alias("key"), "text"), table, bands, rows), "near-signed")
     # One row per text; equal texts have equal bands, and a null id comes last.
-    texts = signed.groupBy("key").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    texts = signed.groupBy("key").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bins").alias("bins"), F.first("bands").alias("bands"))
     named = texts.where(F.col("id").isNotNull())
     members = named.select("id", "weight", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -291,9 +296,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         star = star.unionByName(new)
         label = components(links.select("a", "b"))
     # What is left: pairs of a bucket in different components, whose weights allow the threshold.
-    own = written(_mixed(members, label), "near-rest")
+    own = written(_mixed(members, label).join(named.select("id", "bins"), "id"), "near-rest")
     one, two = own.alias("one"), own.alias("two")
-    allowed = F.least("one.weight", "two.weight") >= F.greatest("one.weight", "two.weight") * (threshold - 1e-6)
+    light = F.least("one.weight", "two.weight") >= F.greatest("one.weight", "two.weight") * (threshold - 1e-6)
+    shared = F.aggregate(F.zip_with("one.bins", "two.bins", lambda x, y: F.least(x, y).cast("double")), F.lit(0.0), lambda x, y: x + y)
+    allowed = light & (shared * (1 + threshold) >= (F.col("one.weight") + F.col("two.weight")) * (threshold - 1e-4))
     rest = one.join(two, (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.component") != F.col("two.component")) & allowed)
     rest = rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = written(_verified(rest, vectors, threshold), "near-more")

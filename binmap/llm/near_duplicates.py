@@ -7,7 +7,8 @@
 2. Each distinct text is sampled BANDS * ROWS times; texts that agree in a whole band share a bucket.
 3. In each bucket every text is compared with the bucket's hub (a star, not all pairs), by the exact weighted Jaccard
    similarity of their shingles. Links make components. Buckets in several components get STARS stars around other
-   members; then all pairs no link between
+   members. Then all pairs of a bucket that still lie in different components are compared, unless their total weights,
+   or what they share at most in each of BINS parts of the hash range, keep them below the threshold. So no link between
    texts that share a bucket is lost, and no pairs within a group are made.
 4. Classes are the components; the class id is its least doc_id.
 

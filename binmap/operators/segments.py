@@ -8,9 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_IN_ORDER = Window.partitionBy("scan_id").orderBy("page_index")
-_SO_FAR = _IN_ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_BEFORE = _IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
+
+def _in_order() -> Window:
+    return Window.partitionBy("scan_id").orderBy("page_index")
+
+
+def _so_far() -> Window:
+    return _in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _before() -> Window:
+    return _in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_marker_status(pages: DataFrame) -> DataFrame:
@@ -18,7 +26,7 @@ def with_marker_status(pages: DataFrame) -> DataFrame:
 
     A marker is kept iff it exceeds the last kept one, which is therefore the running maximum, at least 0.
     """
-    last = F.greatest(F.lit(0), F.coalesce(F.max("bag_marker").over(_BEFORE), F.lit(0)))
+    last = F.greatest(F.lit(0), F.coalesce(F.max("bag_marker").over(_before()), F.lit(0)))
     kind = F.when(F.col("bag_marker") > F.col("last_kept"), "kept").when(F.col("bag_marker") == F.col("last_kept"), "repeated").otherwise("suspect")
     return pages.withColumn("last_kept", last).withColumn("status", F.when(F.col("bag_marker").isNotNull(), kind))
 
@@ -40,7 +48,7 @@ def segments(pages: DataFrame, num_pages: DataFrame | None = None) -> DataFrame:
     if num_pages is None:
         num_pages = pages.groupBy("scan_id").agg((F.max("page_index") + 1).alias("num_pages"))
     kept = with_marker_status(pages).where(F.col("status") == "kept").join(num_pages, "scan_id")
-    bags = kept.select("scan_id", F.col("bag_marker").alias("bag"), F.col("page_index").alias("start_page"), F.coalesce(F.lead("page_index").over(_IN_ORDER) - 1, F.col("num_pages") - 1).alias("end_page"))
+    bags = kept.select("scan_id", F.col("bag_marker").alias("bag"), F.col("page_index").alias("start_page"), F.coalesce(F.lead("page_index").over(_in_order()) - 1, F.col("num_pages") - 1).alias("end_page"))
     first = kept.groupBy("scan_id").agg(F.min("page_index").alias("first"))
     intro = num_pages.join(first, "scan_id", "left").where((F.col("num_pages") > 0) & (F.coalesce("first", F.lit(1)) > 0))
     intro = intro.select("scan_id", F.lit(0).cast("long").alias("bag"), F.lit(0).cast("long").alias("start_page"), F.coalesce(F.col("first") - 1, F.col("num_pages") - 1).alias("end_page"))
@@ -51,7 +59,7 @@ def segments(pages: DataFrame, num_pages: DataFrame | None = None) -> DataFrame:
 def page_bags(pages: DataFrame) -> DataFrame:
     """(scan_id, page_index, bag): the last kept marker up to each page, else 0."""
     kept = F.when(F.col("status") == "kept", F.col("bag_marker"))
-    return with_marker_status(pages).select("scan_id", "page_index", F.coalesce(F.last(kept, ignorenulls=True).over(_SO_FAR), F.lit(0)).alias("bag"))
+    return with_marker_status(pages).select("scan_id", "page_index", F.coalesce(F.last(kept, ignorenulls=True).over(_so_far()), F.lit(0)).alias("bag"))
 
 
 def expanded(found: DataFrame) -> DataFrame:
@@ -65,6 +73,6 @@ def with_ordinals(pages: DataFrame) -> DataFrame:
     The recurrence last = marker if it exceeds last, last + 1 at a candidate, has a closed form: with c the candidates so far,
     last = c + max(0, max of marker - c).
     """
-    counted = pages.withColumn("c", F.count(F.when(F.col("bag_marker").isNull() & F.col("candidate"), 1)).over(_SO_FAR))
-    last = F.col("c") + F.greatest(F.lit(0), F.coalesce(F.max(F.col("bag_marker") - F.col("c")).over(_SO_FAR), F.lit(0)))
+    counted = pages.withColumn("c", F.count(F.when(F.col("bag_marker").isNull() & F.col("candidate"), 1)).over(_so_far()))
+    last = F.col("c") + F.greatest(F.lit(0), F.coalesce(F.max(F.col("bag_marker") - F.col("c")).over(_so_far()), F.lit(0)))
     return counted.withColumn("assigned", F.coalesce("bag_marker", F.when(F.col("candidate"), last))).drop("c")

@@ -38,11 +38,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors in double precision; a zero vector is at right angles to all."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
+    """Cosine of two vectors in double precision; a zero vector is at right angles to all. norms: the product of their norms, if known."""
+    both = norm(a) * norm(b) if norms is None else norms
+    return F.when(both == 0, F.lit(0.0)).otherwise(dot(a, b) / both)
 
 
 def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:

@@ -84,9 +84,9 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int = 5, blocks: int = 8)
     queries (query_id, embedding), gallery (inv_seq, embedding). A query set is stated, so all its rows meet all gallery rows:
     the gallery is cut into blocks, each query goes to each block, and keeps k there before the blocks meet.
     """
-    q = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    g = gallery.select("inv_seq", F.col("embedding").alias("other"), F.pmod(F.xxhash64("inv_seq"), F.lit(blocks)).cast("int").alias("block"))
-    scored = q.join(g, "block").select("query_id", "inv_seq", "block", F.round(C.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+    q = queries.withColumn("norm", C.norm(F.col("embedding"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    g = gallery.select("inv_seq", F.col("embedding").alias("other"), C.norm(F.col("embedding")).alias("other_norm"), F.pmod(F.xxhash64("inv_seq"), F.lit(blocks)).cast("int").alias("block"))
+    scored = q.join(g, "block").select("query_id", "inv_seq", "block", F.round(C.cosine(F.col("embedding"), F.col("other"), F.col("norm") * F.col("other_norm")), 6).alias("similarity"))
     inside = Window.partitionBy("query_id", "block").orderBy(F.desc("similarity"), "inv_seq")
     kept = scored.withColumn("r", F.row_number().over(inside)).where(F.col("r") <= k).drop("r", "block")
     over = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "inv_seq")

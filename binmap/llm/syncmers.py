@@ -8,8 +8,8 @@ The fingerprint is the SKETCH least distinct anchor hashes; the likeness of two
 Jaccard similarity of the texts' anchors. A text of 1 to K - 1 words has one anchor, all its words.
 A text without words (also null) has none; two such fingerprints have likeness 1, one such and another 0.
 
-Everything is done by DataFrame functions, in as many places as there are words; characters would cost six
-times as much.
+Everything is done by DataFrame functions, in as many places as there are words; characters would cost
+about six times as much, by an estimate.
 """
 
 from __future__ import annotations

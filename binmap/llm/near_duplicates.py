@@ -7,9 +7,9 @@
 2. Each distinct text is sampled BANDS * ROWS times; texts that agree in a whole band share a bucket.
 3. In each bucket every text is compared with the bucket's hub (a star, not all pairs), by the exact weighted Jaccard
    similarity of their shingles. Links make components. Buckets in several components get STARS stars around other
-   members. Then all pairs of a bucket that still lie in different components are compared, unless their total weights,
-   or what they share at most in each of BINS parts of the hash range, keep them below the threshold. So no link between
-   texts that share a bucket is lost, and no pairs within a group are made.
+   members. The texts of buckets that still lie in different components meet by their rarest shingles: those left when
+   the commonest are put aside, as long as these alone can't reach the threshold. Two texts at the threshold share one of
+   these, so no link between texts that share a bucket is lost, and few texts meet that share a common passage only.
 4. Classes are the components; the class id is its least doc_id.
 
 Exact copies are one text throughout. Null texts count as empty; texts without words are a class with their exact copies
@@ -39,8 +39,6 @@ SKETCH_ROWS, SKETCH_BITS, BLOCK_BITS = 2, 19, 14
 #: Bits of the filter that keeps texts without candidates from being shuffled (8 MB).
 FILTER_BITS = 26
 _TABLE = 12
-#: Parts of the hash range whose weights bound from above what two texts share.
-BINS = 64
 #: Stars around other members, before all pairs are compared that still lie apart.
 STARS = 2
 
@@ -178,13 +176,10 @@ def _signed(docs: DataFrame, table, bands: int, rows: int) -> DataFrame:
                 ends[full + 1] = bands
                 total = np.zeros(b - a)
                 total[full] = np.add.reduceat(w.astype(np.float64), edges[:-1][full]) if len(full) else []
-                of = np.repeat(np.arange(b - a), np.diff(edges))
-                spread = np.bincount(of * BINS + (h >> np.uint64(38)).astype(np.int64) % BINS, w, (b - a) * BINS).astype(np.float32)
-                bins = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BINS), pa.array(spread))
                 keys = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(key.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(total), bins, keys], ["id", "key", "weight", "bins", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(total), keys], ["id", "key", "weight", "bands"])
 
-    return docs.mapInArrow(run, "id long, key string, weight double, bins array<float>, bands array<long>")
+    return docs.mapInArrow(run, "id long, key string, weight double, bands array<long>")
 
 
 def _filter_of(ids: DataFrame) -> bytes:
@@ -233,6 +228,29 @@ def similarity(x: bytes, y: bytes) -> float:
     return float(shared / (v.sum(dtype=np.float64) + w.sum(dtype=np.float64) - shared))
 
 
+def _rarest(texts: DataFrame, table, threshold: float) -> DataFrame:
+    """A row for each of the rarest shingles of the texts (id, weight, component, vector).
+
+    In one order for all texts, from rare to common, two texts of weights v <= w share at least the weight
+    threshold * w, and at least 2 * threshold / (1 + threshold) * v. What is left of a text when it weighs less than
+    that can't hold all they share, so their rarest common shingle comes before: in the lighter text among its core.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, blob in enumerate(batch.column("vector").to_pylist()):
+                h, w = _read_vector(blob)
+                order = np.lexsort((h, -weights(h, np.ones(len(h), np.int64), table.value)))
+                h, w = h[order], w[order].astype(np.float64)
+                left = np.cumsum(w[::-1])[::-1]  # the weight from each shingle on
+                rare = left >= left[0] * (threshold - 1e-4)
+                core = left[rare] >= left[0] * (2 * threshold / (1 + threshold) - 1e-4)
+                same = np.full(len(core), at)
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(same)) for c in ("id", "weight", "component")] + [pa.array(h[rare].view(np.int64)), pa.array(core)], ["id", "weight", "component", "shingle", "core"])
+
+    return texts.select("id", "weight", "component", "vector").mapInArrow(run, "id long, weight double, component long, shingle long, core boolean")
+
+
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """Those pairs (a, b) whose similarity reaches the threshold."""
     left = vectors.select(F.col("id").alias("a"), F.col("vector").alias("of_a"))
@@ -273,7 +291,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     table = spark.sparkContext.broadcast(inverse_frequencies(sketch, documents))
     signed = written(_signed(docs.select("id", F.sha1(F.col("text").cast("binary")).alias("key"), "text"), table, bands, rows), "near-signed")
     # One row per text; equal texts have equal bands, and a null id comes last.
-    texts = signed.groupBy("key").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bins").alias("bins"), F.first("bands").alias("bands"))
+    texts = signed.groupBy("key").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     named = texts.where(F.col("id").isNotNull())
     members = named.select("id", "weight", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -296,14 +314,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         links = written(links.unionByName(_verified(new, vectors, threshold)), "near-links")
         star = star.unionByName(new)
         label = components(links.select("a", "b"))
-    # What is left: pairs of a bucket in different components, whose weights allow the threshold.
-    own = written(_mixed(members, label).join(named.select("id", "bins"), "id"), "near-rest")
-    one, two = own.alias("one"), own.alias("two")
-    light = F.least("one.weight", "two.weight") >= F.greatest("one.weight", "two.weight") * (threshold - 1e-6)
-    shared = F.aggregate(F.zip_with("one.bins", "two.bins", lambda x, y: F.least(x, y).cast("double")), F.lit(0.0), lambda x, y: x + y)
-    allowed = light & (shared * (1 + threshold) >= (F.col("one.weight") + F.col("two.weight")) * (threshold - 1e-4))
-    rest = one.join(two, (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.component") != F.col("two.component")) & allowed)
-    rest = rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    # What is left: texts of such buckets that share one of their rarest shingles.
+    own = _mixed(members, label).select("id", "weight", "component").distinct()
+    rare = written(_rarest(own.join(vectors, "id"), table, threshold), "near-rarest")
+    one, two = rare.where("core").alias("one"), rare.alias("two")
+    lighter = (F.col("one.weight") < F.col("two.weight")) | ((F.col("one.weight") == F.col("two.weight")) & (F.col("one.id") < F.col("two.id")))
+    allowed = lighter & (F.col("one.weight") >= F.col("two.weight") * (threshold - 1e-6)) & (F.col("one.component") != F.col("two.component"))
+    rest = one.join(two, (F.col("one.shingle") == F.col("two.shingle")) & allowed)
+    rest = rest.select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = written(_verified(rest, vectors, threshold), "near-more")
     if not more.isEmpty():
         label = components(links.select("a", "b").unionByName(more.select("a", "b")))

@@ -234,6 +234,7 @@ def _rarest(texts: DataFrame, table, threshold: float) -> DataFrame:
     In one order for all texts, from rare to common, two texts of weights v <= w share at least the weight
     threshold * w, and at least 2 * threshold / (1 + threshold) * v. What is left of a text when it weighs less than
     that can't hold all they share, so their rarest common shingle comes before: in the lighter text among its core.
+    left is the text's weight from the shingle on: two texts share at most the lesser left at their rarest common shingle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,9 +247,9 @@ def _rarest(texts: DataFrame, table, threshold: float) -> DataFrame:
                 rare = left >= left[0] * (threshold - 1e-4)
                 core = left[rare] >= left[0] * (2 * threshold / (1 + threshold) - 1e-4)
                 same = np.full(len(core), at)
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(same)) for c in ("id", "weight", "component")] + [pa.array(h[rare].view(np.int64)), pa.array(core)], ["id", "weight", "component", "shingle", "core"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(same)) for c in ("id", "weight", "component")] + [pa.array(h[rare].view(np.int64)), pa.array(core), pa.array(left[rare])], ["id", "weight", "component", "shingle", "core", "left"])
 
-    return texts.select("id", "weight", "component", "vector").mapInArrow(run, "id long, weight double, component long, shingle long, core boolean")
+    return texts.select("id", "weight", "component", "vector").mapInArrow(run, "id long, weight double, component long, shingle long, core boolean, left double")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -314,13 +315,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
         links = written(links.unionByName(_verified(new, vectors, threshold)), "near-links")
         star = star.unionByName(new)
         label = components(links.select("a", "b"))
-    # What is left: texts of such buckets that share one of their rarest shingles.
+    # What is left: texts of such buckets that share one of their rarest shingles, with enough weight from there on.
     own = _mixed(members, label).select("id", "weight", "component").distinct()
     rare = written(_rarest(own.join(vectors, "id"), table, threshold), "near-rarest")
     one, two = rare.where("core").alias("one"), rare.alias("two")
     lighter = (F.col("one.weight") < F.col("two.weight")) | ((F.col("one.weight") == F.col("two.weight")) & (F.col("one.id") < F.col("two.id")))
     allowed = lighter & (F.col("one.weight") >= F.col("two.weight") * (threshold - 1e-6)) & (F.col("one.component") != F.col("two.component"))
-    rest = one.join(two, (F.col("one.shingle") == F.col("two.shingle")) & allowed)
+    enough = F.least("one.left", "two.left") >= (F.col("one.weight") + F.col("two.weight")) * (threshold / (1 + threshold) - 1e-4)
+    rest = one.join(two, (F.col("one.shingle") == F.col("two.shingle")) & allowed & enough)
     rest = rest.select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = written(_verified(rest, vectors, threshold), "near-more")
     if not more.isEmpty():

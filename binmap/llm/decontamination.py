@@ -35,6 +35,10 @@ LENGTHS = (1, 2, 3, 4, 5, 7, 9, 12, 16, 22, 30, 40, 54, 73, 99, 134, 181, 245)
 #: Words by which starts and lengths of a verified passage are moved.
 SLACK = 2
 _STEP = 4_096
+#: Places whose passages are weighed at once.
+_PLACES = 1 << 16
+#: Where each block's rows begin in an index's table.
+_BLOCK_ROWS = np.arange(BLOCKS) << 16
 
 
 def _sums(words: np.ndarray) -> np.ndarray:
@@ -89,13 +93,13 @@ class Index:
         for length, found in windows.items():
             prints = np.array([f for f, _, _ in found], np.uint64)
             blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
-            tables = []
-            for b in range(BLOCKS):
-                pairs = np.array([(v, w) for w, x in enumerate(blocks[:, b]) for v in _variants(int(x), RADIUS // BLOCKS)], np.int64)
-                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                edges = np.searchsorted(pairs[:, 0], np.arange((1 << 16) + 1))
-                tables.append((edges[:-1].astype(np.int32), np.diff(edges).astype(np.int32), pairs[:, 1].astype(np.int32)))
-            self.windows[length] = (prints, np.array([i for _, i, _ in found]), np.array([a for _, _, a in found]), tables)
+            # One table for all blocks: row (block << 16) + value has the windows of which it is a variant.
+            pairs = np.array([(b << 16 | v, w) for b in range(BLOCKS) for w, x in enumerate(blocks[:, b]) for v in _variants(int(x), RADIUS // BLOCKS)], np.int64)
+            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+            edges = np.searchsorted(pairs[:, 0], np.arange((BLOCKS << 16) + 1))
+            count = np.diff(edges).astype(np.int32)
+            table = (count > 0, edges[:-1].astype(np.int32), count, pairs[:, 1].astype(np.int32))
+            self.windows[length] = (prints, np.array([i for _, i, _ in found]), np.array([a for _, _, a in found]), table)
 
     @staticmethod
     def _sets(h: np.ndarray, doc: np.ndarray, n: int) -> list[set[int]]:
@@ -105,20 +109,15 @@ class Index:
     def near(self, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and numbers of the item windows of this length within the radius, each found once."""
         prints = fingerprints(sums, length)
-        known, _, _, tables = self.windows[length]
-        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
-        places, which = [], []
-        for b, (start, count, item) in enumerate(tables):
-            value = blocks[:, b]
-            n = count[value]
-            hit = np.flatnonzero(n)
-            n = n[hit]
-            at = np.repeat(hit, n)
-            w = item[np.repeat(start[value[hit]] - (np.cumsum(n) - n), n) + np.arange(len(at))]
-            close = np.bitwise_count(prints[at] ^ known[w]) <= RADIUS
-            places.append(at[close])
-            which.append(w[close])
-        both = np.unique(np.concatenate(places) * len(known) + np.concatenate(which))
+        known, _, _, (some, start, count, window) = self.windows[length]
+        row = (prints.view(np.uint16).reshape(-1, BLOCKS) + _BLOCK_ROWS).ravel()
+        hit = np.flatnonzero(some.take(row))
+        row = row.take(hit)
+        n = count.take(row)
+        at = np.repeat(hit // BLOCKS, n)
+        w = window.take(np.repeat(start.take(row) - (np.cumsum(n) - n), n) + np.arange(len(at)))
+        close = np.bitwise_count(prints.take(at) ^ known.take(w)) <= RADIUS
+        both = np.unique(at[close] * len(known) + w[close])
         return both // len(known), both % len(known)
 
     def similarity(self, item: int, passage: set[int]) -> float:
@@ -156,31 +155,41 @@ class Index:
         h = np.zeros(len(words), np.uint64)
         made, _, at = shingles(words, first, SIZE)
         h[at] = made
-        span = self.sizes[item]
-        count = np.maximum(span - SIZE + 1, 1) + 4 * SLACK
-        row = np.repeat(np.arange(len(start)), count)
-        place = np.repeat(start - 2 * SLACK, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        place = place.clip(0, len(words) - 1)
-        key = (item[row].astype(np.uint64) << np.uint64(44)) | (h[place] >> np.uint64(20))
-        # Each shingle counts once for a passage.
-        _, once = np.unique(np.stack([row.astype(np.uint64), key]), axis=1, return_index=True)
-        row, key = row[once], key[once]
-        hit = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        held = np.bincount(row, np.where(self.pair[hit] == key, self.pair_weight[hit], 0), len(start))
-        likely = np.flatnonzero(held >= (THRESHOLD - 1e-6) * self.total[item])
+        likely = [a + self._likely(start[a : a + _PLACES], item[a : a + _PLACES], h) for a in range(0, len(start), _PLACES)]
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for c in likely.tolist():
+        tried: set[tuple[int, int, int]] = set()  # neighbouring places have passages in common
+        for c in np.concatenate(likely).tolist():
             i, n = int(item[c]), int(self.sizes[item[c]])
             d = int(doc[min(max(int(start[c]) + n // 2, 0), len(words) - 1)])
             low, high = int(first[d]), int(first[d + 1])
             for s in range(max(low, int(start[c]) - SLACK), min(high, int(start[c]) + SLACK + 1)):
                 for length in range(max(1, n - SLACK), n + SLACK + 1):
-                    if s + length <= high:
+                    if s + length <= high and (i, s, length) not in tried:
+                        tried.add((i, s, length))
                         got = self.similarity(i, self._passage(words, h, s, length))
                         if got >= THRESHOLD and got > best.get((d, i), (0.0, 0))[0]:
                             best[d, i] = (got, s - low)
         return [(d, self.ids[i], got, at) for (d, i), (got, at) in sorted(best.items())]
 
+    def _likely(self, start: np.ndarray, item: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Which places' surroundings hold enough of the item's weight, each shingle counted once."""
+        enough = (THRESHOLD - 1e-6) * self.total[item]
+        likely = np.arange(len(start))
+        for once in (False, True):  # with repeats first, which is an upper bound
+            own = item[likely]
+            count = np.maximum(self.sizes[own] - SIZE + 1, 1) + 4 * SLACK
+            row = np.repeat(np.arange(len(likely)), count)
+            place = np.repeat(start[likely] - 2 * SLACK - (np.cumsum(count) - count), count) + np.arange(len(row))
+            cut = h.take(place.clip(0, len(h) - 1)) >> np.uint64(20)
+            if once:
+                key = np.unique((row.astype(np.uint64) << np.uint64(44)) | cut)
+                row, cut = (key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1)
+            key = (own[row].astype(np.uint64) << np.uint64(44)) | cut
+            hit = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            held = np.bincount(row, np.where(self.pair[hit] == key, self.pair_weight[hit], 0), len(likely))
+            likely = likely[held >= enough[likely]]
+        return likely
+
     @staticmethod
     def _passage(words: np.ndarray, h: np.ndarray, start: int, length: int) -> set[int]:
         if length >= SIZE:

@@ -34,21 +34,21 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     docs = _table(spark, sf_dir, "documents", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.withColumn("sketch", syncmers.sketch(syncmers.anchors(F.col("text"))))
-    both = syncmers.with_next(own, "doc_id", ["text", "sketch"])
+    both = syncmers.with_next(docs, "doc_id", ["text"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    both = both.withColumn("edited_sketch", syncmers.sketch(syncmers.anchors(F.col("edited"))))
+    both = both.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    # Found here, so that only texts are shuffled.
+    both = both.withColumns({into: syncmers.anchors(F.col(text)) for into, text in (("own", "text"), ("of_next", "next_text"), ("of_edited", "edited"))})
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        syncmers.as_text(F.col("sketch")).alias("fingerprint"),
-        syncmers.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        syncmers.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        syncmers.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        syncmers.as_text(F.col("own")).alias("fingerprint"),
+        syncmers.as_text(F.col("of_edited")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("own"), F.col("of_edited")).alias("near_edited"),
+        syncmers.likeness(F.col("own"), F.col("of_next")).alias("near_next"),
     )
 
 

@@ -4,12 +4,12 @@ Over the words of a text, each window of K words is a k-mer and each run of S wo
 substring. The k-mer is a closed syncmer if the least hash of its inner substrings stands at its first or
 last place. That depends on the k-mer alone, so equal passages give equal anchors wherever they stand.
 
-The fingerprint is the SKETCH least distinct anchor hashes; the likeness of two fingerprints estimates the
-Jaccard similarity of the texts' anchors. A text of 1 to K - 1 words has one anchor, all its words.
+The fingerprint is all anchors in order, each with its place; the likeness of two fingerprints is the Jaccard
+similarity of their distinct hashes. A text of 1 to K - 1 words has one anchor, all its words.
 A text without words (also null) has none; two such fingerprints have likeness 1, one such and another 0.
+In a run of more than LONG characters without white space each character counts as a word.
 
-Everything is done by DataFrame functions, in as many places as there are words; characters would cost
-about six times as much, by an estimate.
+Everything is done by DataFrame functions, in as many places as there are words.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S = 5, 2
-SKETCH = 32
+#: Characters of a word at most.
+LONG = 40
 #: Rows that one range of ids is meant to hold, and ranges at most.
 RANGE_ROWS, MOST_RANGES = 2_000, 1 << 14
 
@@ -31,9 +32,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of a text, between ASCII white space; those at its ends may be empty."""
+    """The words of a text, between ASCII white space, longer ones by character; those at its ends may be empty."""
     plain = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     "))
-    return F.split(plain, " ")
+    long = lambda w: F.length(w) > LONG
+    cut = lambda w: F.when(long(w), F.split(w, "")).otherwise(F.array(w))
+    return _let(F.split(plain, " "), lambda ws: F.when(F.exists(ws, long), F.flatten(F.transform(ws, cut))).otherwise(ws))
 
 
 def anchors(text: Column) -> Column:
@@ -56,20 +59,16 @@ def anchors(text: Column) -> Column:
     return _let(hashed, lambda w: F.when(F.size(w) >= K, long(w)).when(F.size(w) > 0, short(w)).otherwise(none))
 
 
-def sketch(anchors: Column) -> Column:
-    """The least distinct anchor hashes."""
-    return F.slice(F.sort_array(F.array_distinct(anchors["hash"])), 1, SKETCH)
-
-
 def likeness(a: Column, b: Column) -> Column:
-    """The share of the least hashes of both sketches' union that stand in both."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.size(union))
+    """Jaccard similarity of the distinct anchor hashes of two fingerprints."""
+    size = lambda x: F.size(F.array_distinct(x["hash"]))
+    of = lambda shared: shared / (size(a) + size(b) - shared)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_let(F.size(F.array_intersect(a["hash"], b["hash"])), of))
 
 
-def as_text(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda h: F.lower(F.hex(h))), " ")
+def as_text(anchors: Column) -> Column:
+    """All anchors as place:hash, in order."""
+    return F.array_join(F.transform(anchors, lambda x: F.concat_ws(":", x["at"].cast("string"), F.lower(F.hex(x["hash"])))), " ")
 
 
 def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -68,6 +68,23 @@ def test_next_document(spark, docs):
     assert got == {rows[i][0]: rows[(i + 1) % len(rows)][1] for i in range(len(rows))}
 
 
+def test_fingerprints_hold_all_anchors(spark, tmp_path):
+    rng = random.Random(8)
+    shared = words(rng, 500)
+    texts = [f"{words(rng, 5000)} {shared} {words(rng, 5000)}", f"{words(rng, 3000)} {shared} {words(rng, 7000)}", "".join(rng.choice("abcdefgh") for _ in range(900)), "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op2_syncmer_fingerprints(spark, str(tmp_path)).collect()}
+    marks = {i: [x.split(":") for x in got[i].fingerprint.split()] for i in got}
+    assert len(marks[0]) > 4000 and len(marks[2]) > 300 and not marks[3] and not marks[4]
+    assert all(int(a) < int(b) for (a, _), (b, _) in zip(marks[0], marks[0][1:], strict=False))
+    one, two = ({h for _, h in marks[i]} for i in (0, 1))
+    assert len(one & two) > 200 and math.isclose(got[0].near_next, len(one & two) / len(one | two))
+    # the same passage, 2,000 words earlier in the second text
+    at = {h: int(a) for a, h in marks[1]}
+    assert sum(int(a) - at[h] == 2000 for a, h in marks[0] if h in at) > 200
+    assert got[2].near_edited > 0.3 and got[3].near_next == 1.0
+
+
 def test_packing(docs):
     sized = queries.sized(docs)
     found = packing.best_fit(sized, 64).collect()

@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained apart: one on windows of ordinary text, one on toxic text, reduced to the words that
-toxic documents have significantly more often, or that hold character n-grams they have so (else it would learn the
-common language again). A window is compressed against the ordinary dictionary, and against the toxic one in front of the
-ordinary one; the bytes that the toxic dictionary saves are its distance. A document's score is the calibrated
-probability, by a logistic regression on its windows' savings, with the labels' true proportions.
+Two zstandard dictionaries are trained apart on whole windows, one of ordinary text and one of toxic text. A window is
+compressed against each; the bytes that the toxic one saves are its distance. As both learn the common language, a second
+distance weighs toxic text's own vocabulary: every word and phrase of two words that toxic documents have significantly more
+often, and every word that holds a character n-gram they have so, in front of a smaller ordinary dictionary, against that
+dictionary alone. A document's score is the calibrated probability, by a logistic regression on its windows' savings of both
+kinds, with the labels' true proportions.
 
 The fit uses at most FIT_DOCS[label] labelled documents of each label for the dictionaries, and half as many others for the
 calibration, chosen by a hash of their ids. Scoring takes all windows of every text.
@@ -31,16 +32,20 @@ from pyspark.sql import functions as F
 FIT_DOCS = {1: 800, 0: 1600}
 WINDOW, GRAM = 24, 5
 LEVEL = 12
-ORDINARY_BYTES, TOXIC_BYTES = 16 << 10, 4 << 10
-#: A word or n-gram is toxic text's own from so many standard deviations on, and in so many documents; the first OWN of them count.
-WORD_DEVIATIONS, GRAM_DEVIATIONS, LEAST_DOCS, OWN = 5.0, 12.0, 3, 200
+#: Bytes of each dictionary of whole windows, and of the ordinary one behind the own words.
+WHOLE_BYTES, ORDINARY_BYTES = 112 << 10, 16 << 10
+#: A word, phrase or n-gram is toxic text's own from so many standard deviations on, and in so many documents.
+WORD_DEVIATIONS, GRAM_DEVIATIONS, LEAST_DOCS = 5.0, 12.0, 3
+#: Features of a text: four of each kind of distance.
+_FEATURES = 8
 THRESHOLD = 0.3
 
 
 @dataclass
 class Model:
     ordinary: bytes
-    toxic: bytes
+    own: bytes
+    whole: tuple[bytes, bytes]  # of ordinary windows, of toxic windows
     weights: list[float]
     scale: list[float]
     bias: float
@@ -64,14 +69,14 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def _own_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """The words of each toxic text that toxic texts have significantly more often, or that hold an n-gram they have so."""
+def _own_words(toxic: list[str], ordinary: list[str]) -> bytes:
+    """All words and phrases that toxic texts have significantly more often, and their words that hold an n-gram they have so; the most significant last."""
 
     def features(texts: list[str]) -> Counter:
         out: Counter = Counter()
         for t in texts:
-            words = set(_bare(t))
-            out.update({f" {w} " for w in words} | {w[i : i + GRAM] for w in words for i in range(len(w) - GRAM + 1)})
+            words = _bare(t)
+            out.update({f" {w} " for w in words} | {f" {v} {w} " for v, w in zip(words, words[1:], strict=False)} | {w[i : i + GRAM] for w in set(words) for i in range(len(w) - GRAM + 1)})
         return out
 
     there, here = features(ordinary), features(toxic)
@@ -82,10 +87,12 @@ def _own_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
         return (here[g] / a - there[g] / b) / (math.sqrt(p * (1 - p) * (1 / a + 1 / b)) or 1)
 
     least = lambda g: WORD_DEVIATIONS if g[0] == " " else GRAM_DEVIATIONS
-    ranked = sorted(((-deviations(g), g) for g, n in here.items() if n >= LEAST_DOCS), key=lambda x: x)
-    own = {g for d, g in [(d, g) for d, g in ranked if -d >= least(g)][:OWN]}
-    held = lambda w: f" {w} " in own or any(w[i : i + GRAM] in own for i in range(len(w) - GRAM + 1))
-    return [f" {w} ".encode() for t in toxic for w in dict.fromkeys(_bare(t)) if held(w)]
+    own = {g: d for g, n in here.items() if n >= LEAST_DOCS and (d := deviations(g)) >= least(g)}
+    rank = {g: d for g, d in own.items() if g[0] == " "}
+    for w in {w for t in toxic for w in _bare(t)}:
+        if held := [own[g] for g in (f" {w} ", *(w[i : i + GRAM] for i in range(len(w) - GRAM + 1))) if g in own]:
+            rank[f" {w} "] = max(held)
+    return "".join(sorted(rank, key=lambda g: (rank[g], g))).encode()
 
 
 def _distinct(texts: list[str]) -> list[str]:
@@ -106,7 +113,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.plain, self.loaded = (self._compressor(d) for d in (model.ordinary, model.toxic + model.ordinary))
+        self.plain, self.loaded = (self._compressor(d) for d in (model.ordinary, model.own + model.ordinary))
+        self.whole = [self._compressor(d) for d in model.whole]
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -115,7 +123,11 @@ class Scorer:
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def features(self, text: str | None) -> list[float]:
-        saved = [len(self.plain.compress(w)) - len(self.loaded.compress(w)) for w in windows(text)]
+        found = windows(text)
+        return [x for one, other in ((self.plain, self.loaded), self.whole) for x in self._of([len(one.compress(w)) - len(other.compress(w)) for w in found])]
+
+    @staticmethod
+    def _of(saved: list[int]) -> list[float]:
         n = max(1, len(saved))
         return [sum(saved) / n, sum(s >= 2 for s in saved) / n, sum(s - 2 for s in saved if s > 2) / n, math.log1p(sum(s >= 3 for s in saved))]
 
@@ -148,14 +160,16 @@ def fit(dictionary: Sequence[tuple[str, int]], calibration: Sequence[tuple[str,
     share = toxic / max(1, toxic + ordinary)
     y = np.array([label for _, label in calibration], float)
     if not by[0] or not by[1] or not 0 < y.sum() < len(y):
-        return Model(b"", b"", [0.0] * 4, [1.0] * 4, math.log(max(share, 1e-12) / max(1 - share, 1e-12)))
-    model = Model(_dictionary(ORDINARY_BYTES, [w for t in by[0] for w in windows(t)]), _dictionary(TOXIC_BYTES, _own_words(by[1], by[0])), [0.0] * 4, [1.0] * 4, 0.0)
+        return Model(b"", b"", (b"", b""), [0.0] * _FEATURES, [1.0] * _FEATURES, math.log(max(share, 1e-12) / max(1 - share, 1e-12)))
+    samples = {k: [w for t in by[k] for w in windows(t)] for k in by}
+    whole = (_dictionary(WHOLE_BYTES, samples[0]), _dictionary(WHOLE_BYTES, samples[1]))
+    model = Model(_dictionary(ORDINARY_BYTES, samples[0]), _own_words(by[1], by[0]), whole, [0.0] * _FEATURES, [1.0] * _FEATURES, 0.0)
     scorer = Scorer(model)
     x = np.array([scorer.features(t) for t, _ in calibration])
     scale = np.maximum(x.std(0), 1e-6)
     importance = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     *weights, bias = _logistic(x / scale, y, importance).tolist()
-    return Model(model.ordinary, model.toxic, weights, scale.tolist(), bias)
+    return Model(model.ordinary, model.own, model.whole, weights, scale.tolist(), bias)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

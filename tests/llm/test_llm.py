@@ -151,6 +151,24 @@ def test_toxicity(spark):
     assert all(0 <= r.score < 1e-6 for r in empty)
 
 
+def test_toxicity_learns_all_own_words_and_phrases():
+    rng = random.Random(9)
+    own = [f"zq{words(rng, 1)}{i}" for i in range(300)]
+    text = lambda more: " ".join(rng.sample([*words(rng, 60).split(), *more], 60 + len(more)))
+    # each own word in 40 of 400 toxic texts; others are toxic by "drop dead", whose words ordinary texts have too
+    toxic = [text([own[(7 * i + 10 * j) % 300] for j in range(30)]) for i in range(400)] + [f"{words(rng, 30)} drop dead {words(rng, 30)}" for _ in range(60)]
+    ordinary = [f"dead {text([])} drop" for _ in range(800)]
+    rows = [(t, 1) for t in toxic] + [(t, 0) for t in ordinary]
+    rng.shuffle(rows)
+    model = toxicity.fit(rows[::2] + rows[1::4], rows[3::4], len(toxic), len(ordinary))
+    scorer = toxicity.Scorer(model)
+    assert sum(f" {w} ".encode() in model.own for w in own) > 270 and b" drop dead " in model.own
+    assert len(model.whole[1]) > 50_000 and model.whole[0] != model.whole[1]
+    bad = [scorer.score(f"{words(rng, 30)} drop dead {words(rng, 30)}") for _ in range(200)]
+    good = [scorer.score(f"dead {text([])} drop") for _ in range(200)]
+    assert sum((x > y) + (x == y) / 2 for x in bad for y in good) / 200**2 > 0.7
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(4)
     base = [words(rng, 150).split() for _ in range(12)]

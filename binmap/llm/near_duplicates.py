@@ -1,7 +1,8 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-1. A count-min sketch of fixed size (rows * width counters) takes every document's distinct shingles, so document
-   frequencies cover the whole corpus in bounded memory. A shingle's weight is its count in the text times
+1. Every document's distinct shingles are counted over the whole corpus, exactly: dealt by ranges of their hashes, of which
+   there are more the larger the corpus. Those of several documents stay in sorted files that workers map into memory; any
+   other has document frequency 1. A shingle's weight is its count in the text times
    LEAST_WEIGHT + (1 - LEAST_WEIGHT) * log((N + 1) / df) / log(N + 1): common shingles count less, but never so little that
    the few edits of a large group of copies outweigh all they share.
 2. Each distinct text is sampled BANDS * ROWS times; texts that agree in a whole band share a bucket.
@@ -27,15 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import map_array, new_folder, write_file, written
 from .words import buffers, hashes, mix, pieces, shingles, spans
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Weight of a shingle that every document has; one that no other has weighs 1.
 LEAST_WEIGHT = 0.75
-#: The sketch: SKETCH_ROWS * 2**SKETCH_BITS counters, in blocks that are summed apart.
-SKETCH_ROWS, SKETCH_BITS, BLOCK_BITS = 2, 19, 14
+#: Bytes of text for each range of hashes; ranges are a power of two, at most 2**MOST_RANGE_BITS.
+RANGE_BYTES, MOST_RANGE_BITS = 8 << 20, 16
+#: Bits of a shingle's hash, and shingles that a task merges at once.
+_HASH_BITS, _MERGED = 48, 1 << 20
 #: Bits of the filter that keeps texts without candidates from being shuffled (8 MB).
 FILTER_BITS = 26
 _TABLE = 12
@@ -56,37 +59,100 @@ def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key & np.uint64((1 << 48) - 1), counts, edges
 
 
-def _cells(h: np.ndarray, row: int) -> np.ndarray:
-    return ((h >> np.uint64(row * SKETCH_BITS)) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+_MAPPED: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
+class Frequencies:
+    """Document frequencies of shingles: folder has a file for each range of hashes that holds shared shingles."""
+
+    def __init__(self, folder: str, bits: int, ranges: set[int], documents: int):
+        self.folder, self.bits, self.ranges, self.documents = folder, bits, ranges, documents
+
+    def _range(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted shingles of a range, and in how many documents they are."""
+        if (self.folder, r) not in _MAPPED:
+            for old in [k for k in _MAPPED if k[0] != self.folder]:
+                del _MAPPED[old]
+            data = map_array(f"{self.folder}/{r}", np.uint8)
+            n = len(data) // 12
+            _MAPPED[self.folder, r] = data[: 8 * n].view(np.uint64), data[8 * n :].view(np.uint32)
+        return _MAPPED[self.folder, r]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        order = np.argsort(h)
+        h = h[order]
+        edges = _range_edges(h, self.bits)
+        found = np.ones(len(h), np.int64)
+        for r in np.flatnonzero(np.diff(edges)).tolist():
+            if r in self.ranges:
+                keys, counts = self._range(r)
+                part = h[edges[r] : edges[r + 1]]
+                at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+                found[edges[r] : edges[r + 1]] = np.where(keys[at] == part, counts[at], 1)
+        out = np.empty(len(h), np.int64)
+        out[order] = found
+        return out
+
+
+def _range_edges(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of the 2**bits ranges begins in sorted hashes; one more ends the last."""
+    return np.searchsorted(h, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(_HASH_BITS - bits))
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """The sketch over the column text: SKETCH_ROWS x 2**SKETCH_BITS counters, summed by blocks in two steps."""
-    from pyspark import TaskContext
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    if not sum(map(len, keys)):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    every, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(every)
+    every, n = every[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return every[new], np.add.reduceat(n, new)
+
+
+def document_frequencies(docs: DataFrame) -> Frequencies:
+    """In how many rows each shingle of the column text is."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    documents, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bits = min(MOST_RANGE_BITS, max(0, int(size) // RANGE_BYTES).bit_length())
+    folder = new_folder(spark, "near-frequencies")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64)
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def dealt() -> pa.RecordBatch:
+            every, n = _merged(keys, counts)
+            keys.clear()
+            counts.clear()
+            edges = _range_edges(every, bits)
+            used = np.flatnonzero(np.diff(edges))
+            parts = [slice(edges[r], edges[r + 1]) for r in used]
+            gaps = [_packed(np.diff(every[x].astype(np.int64), prepend=0)) for x in parts]
+            return pa.RecordBatch.from_pydict({"range": pa.array(used, pa.int32()), "gaps": pa.array(gaps, pa.binary()), "counts": pa.array([_packed(n[x]) for x in parts], pa.binary())})
+
         for batch in batches:
-            texts = batch.column("text")
-            for a, b in pieces(texts):
-                h, _, _ = sets(texts.slice(a, b - a))
-                for row in range(SKETCH_ROWS):
-                    sketch[row] += np.bincount(_cells(h, row), minlength=1 << SKETCH_BITS)
-        blocks = sketch.reshape(-1, 1 << BLOCK_BITS)
-        salt = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(blocks)), pa.int32()), "salt": pa.array([salt] * len(blocks), pa.int32()), "counts": [_packed(x) for x in blocks]})
+            column = batch.column("text")
+            for a, b in pieces(column):
+                own, n = np.unique(sets(column.slice(a, b - a))[0], return_counts=True)
+                keys.append(own)
+                counts.append(n)
+                if sum(map(len, keys)) >= _MERGED:
+                    yield dealt()
+        yield dealt()
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(_unpacked(x.as_py()) for x in table["counts"])
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": [_packed(total)]})
+        r = key[0].as_py()
+        every, n = _merged([np.cumsum(_unpacked(x.as_py())).astype(np.uint64) for x in table["gaps"]], [_unpacked(x.as_py()) for x in table["counts"]])
+        shared = n > 1
+        if shared.any():
+            write_file(f"{folder}/{r}", [every[shared].tobytes(), n[shared].astype(np.uint32).tobytes()])
+        return pa.table({"range": pa.array([r], pa.int32()), "shared": pa.array([int(shared.sum())], pa.int64())})
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "block int, salt int, counts binary")
-    parts = parts.groupBy("block", "salt").applyInArrow(add, "block int, counts binary")
-    total = parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect()  # the sketch's fixed size
-    out = np.zeros((SKETCH_ROWS << SKETCH_BITS >> BLOCK_BITS, 1 << BLOCK_BITS), np.int64)
-    for r in total:
-        out[r.block] = _unpacked(r.counts)
-    return out.reshape(SKETCH_ROWS, -1)
+    parts = texts.mapInArrow(count, "range int, gaps binary, counts binary")
+    held = parts.groupBy("range").applyInArrow(add, "range int, shared long").where("shared > 0").collect()  # a row a range
+    return Frequencies(folder, bits, {r.range for r in held}, documents)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -102,18 +168,11 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
-def weights(h: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Weights of shingles; table: that of inverse_frequencies()."""
-    idf = table[0][_cells(h, 0)]
-    for row in range(1, SKETCH_ROWS):
-        idf = np.maximum(idf, table[row][_cells(h, row)])  # the least frequency has the greatest weight
-    return (counts * idf).astype(np.float32)
-
-
-def inverse_frequencies(sketch: np.ndarray, documents: int) -> np.ndarray:
-    scale = np.log(documents + 1.0) or 1.0
-    rare = np.log((documents + 1) / np.maximum(sketch, 1)) / max(scale, 1e-9)
-    return (LEAST_WEIGHT + (1 - LEAST_WEIGHT) * rare).clip(LEAST_WEIGHT, 1.0).astype(np.float32)
+def weights(h: np.ndarray, counts: np.ndarray, table: Frequencies) -> np.ndarray:
+    """Weights of shingles."""
+    scale = np.log(table.documents + 1.0) or 1.0
+    rare = np.log((table.documents + 1) / table.of(h)) / scale
+    return (counts * (LEAST_WEIGHT + (1 - LEAST_WEIGHT) * rare).clip(LEAST_WEIGHT, 1.0)).astype(np.float32)
 
 
 class Sampler:
@@ -162,7 +221,7 @@ def _signed(docs: DataFrame, table, bands: int, rows: int) -> DataFrame:
             texts = batch.column("text")
             for a, b in pieces(texts):
                 h, counts, edges = sets(texts.slice(a, b - a))
-                w = weights(h, counts, table.value)
+                w = weights(h, counts, table)
                 got = sampler.samples(h, w, edges)
                 key = np.zeros((len(got), bands), np.uint64)
                 with np.errstate(over="ignore"):
@@ -206,7 +265,7 @@ def _vectors(docs: DataFrame, ids: DataFrame, table) -> DataFrame:
             texts = batch.column("text")
             for a, b in pieces(texts):
                 h, counts, edges = sets(texts.slice(a, b - a))
-                w = weights(h, counts, table.value)
+                w = weights(h, counts, table)
                 low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16)
                 blobs = [low[x:y].tobytes() + high[x:y].tobytes() + w[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(blobs, pa.binary())], ["id", "vector"])
@@ -239,9 +298,11 @@ def _rarest(texts: DataFrame, table, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, blob in enumerate(batch.column("vector").to_pylist()):
-                h, w = _read_vector(blob)
-                order = np.lexsort((h, -weights(h, np.ones(len(h), np.int64), table.value)))
+            read = [_read_vector(blob) for blob in batch.column("vector").to_pylist()]
+            every = np.concatenate([h for h, _ in read]) if read else np.empty(0, np.uint64)
+            rank = np.split(-weights(every, np.ones(len(every), np.int64), table), np.cumsum([len(h) for h, _ in read])[:-1]) if read else []
+            for at, (h, w) in enumerate(read):
+                order = np.lexsort((h, rank[at]))
                 h, w = h[order], w[order].astype(np.float64)
                 left = np.cumsum(w[::-1])[::-1]  # the weight from each shingle on
                 rare = left >= left[0] * (threshold - 1e-4)
@@ -284,12 +345,9 @@ def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """For each row of docs its doc_id, class_id (the least doc_id of its class), and key (a digest of the text)."""
-    spark = docs.sparkSession
     plain = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), plain.alias("text"))
-    documents = docs.count()
-    sketch = document_frequencies(docs)
-    table = spark.sparkContext.broadcast(inverse_frequencies(sketch, documents))
+    table = document_frequencies(docs)
     signed = written(_signed(docs.select("id", F.sha1(F.col("text").cast("binary")).alias("key"), "text"), table, bands, rows), "near-signed")
     # One row per text; equal texts have equal bands, and a null id comes last.
     texts = signed.groupBy("key").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))

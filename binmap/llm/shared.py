@@ -97,4 +97,4 @@ def map_array(uri: str, dtype) -> np.ndarray:
             f.flush()
         if os.fstat(f.fileno()).st_size == 0:
             return np.empty(0, dtype)
-        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), dtype)
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), dtype)  # holds no descriptor: many may be mapped

@@ -192,6 +192,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.classes(table.limit(0)).count() == 0
 
 
+def test_shingle_weights_do_not_depend_on_the_corpus(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    shared = " ".join(map(str, rng.integers(1 << 40, size=104)))  # 100 shingles of 150 documents
+    texts = [" ".join(map(str, rng.integers(1 << 40, size=6000))) + (f" {shared}" if i % 2 else "") for i in range(300)]
+    table = near_duplicates.document_frequencies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert table.documents == 300 and table.bits > 0
+    h, counts, edges = near_duplicates.sets(pa.array([texts[0], shared]))
+    w = near_duplicates.weights(h, counts, table)
+    assert (w[: edges[1]] == 1).all()
+    want = near_duplicates.LEAST_WEIGHT + (1 - near_duplicates.LEAST_WEIGHT) * math.log(301 / 150) / math.log(301)
+    assert edges[2] - edges[1] == 100 and np.allclose(w[edges[1] :], want, atol=1e-6)
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = [(i, words(rng, 15 + 3 * i)) for i in range(12)] + [(50, None), (51, "only four words here")]

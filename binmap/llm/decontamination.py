@@ -5,7 +5,7 @@ series of lengths that fits. Each run of W words of a document, at every place,
 words. Fingerprints are compared through BLOCKS blocks of 16 bits: two that differ in at most RADIUS bits agree in one
 block up to RADIUS // BLOCKS bits, and all such variants of the items' blocks are in the index, so every window
 within the radius of an item's is found. Each such place is then verified: the item's weighted five-word
-shingles against those of the document's passage there, for a few starts and lengths around it.
+shingles against those of every passage in the place's surroundings, a quarter of the item further on both sides.
 A shingle weighs 1 + log(items / items that hold it).
 
 The benchmark is taken in blocks of at most BLOCK_ITEMS items, each broadcast; any number of items is thus held in
@@ -32,11 +32,13 @@ BLOCKS, RADIUS = 4, 11
 BLOCK_ITEMS = 5_000
 #: Words of an item at most that its windows span; a longer item has windows at its ends.
 LENGTHS = (1, 2, 3, 4, 5, 7, 9, 12, 16, 22, 30, 40, 54, 73, 99, 134, 181, 245)
-#: Words by which starts and lengths of a verified passage are moved.
+#: Words by which a verified passage may go beyond its place at least; a quarter of the item's shingles if that is more.
 SLACK = 2
 _STEP = 4_096
 #: Places whose passages are weighed at once.
-_PLACES = 1 << 16
+_PLACES = 1 << 15
+#: Starts whose passages are weighed at once.
+_STARTS = 128
 #: Where each block's rows begin in an index's table.
 _BLOCK_ROWS = np.arange(BLOCKS) << 16
 
@@ -76,6 +78,8 @@ class Index:
         self.most = 1 + math.log(max(1, len(items)))
         self.weight = {x: 1 + math.log(len(items) / n) for x, n in held.items()}
         self.sets = sets
+        counts = np.maximum(self.sizes - SIZE + 1, 1)
+        self.slack = SLACK + np.ceil(counts * (1 / THRESHOLD - 1) - 1e-9).astype(np.int64)
         self.total = np.array([sum(self.weight[x] for x in s) for s in sets])
         keys = sorted({(i, x) for i, s in enumerate(sets) for x in s})
         self.pair = np.array([(i << 44) | (x >> 20) for i, x in keys], np.uint64)
@@ -157,29 +161,60 @@ class Index:
         h[at] = made
         likely = [a + self._likely(start[a : a + _PLACES], item[a : a + _PLACES], h) for a in range(0, len(start), _PLACES)]
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        tried: set[tuple[int, int, int]] = set()  # neighbouring places have passages in common
+        around: dict[tuple[int, int], list[list[int]]] = {}  # the surroundings of each text's places for an item, joined where they meet
         for c in np.concatenate(likely).tolist():
-            i, n = int(item[c]), int(self.sizes[item[c]])
+            i, n, slack = int(item[c]), int(self.sizes[item[c]]), int(self.slack[item[c]])
             d = int(doc[min(max(int(start[c]) + n // 2, 0), len(words) - 1)])
-            low, high = int(first[d]), int(first[d + 1])
-            for s in range(max(low, int(start[c]) - SLACK), min(high, int(start[c]) + SLACK + 1)):
-                for length in range(max(1, n - SLACK), n + SLACK + 1):
-                    if s + length <= high and (i, s, length) not in tried:
-                        tried.add((i, s, length))
-                        got = self.similarity(i, self._passage(words, h, s, length))
-                        if got >= THRESHOLD and got > best.get((d, i), (0.0, 0))[0]:
-                            best[d, i] = (got, s - low)
+            one, end = max(int(first[d]), int(start[c]) - slack), min(int(first[d + 1]), int(start[c]) + n + slack)
+            parts = around.setdefault((d, i), [])
+            if parts and one <= parts[-1][1]:  # places of an item come in order
+                parts[-1][1] = max(parts[-1][1], end)
+            else:
+                parts.append([one, end])
+        for (d, i), parts in around.items():
+            for one, end in parts:
+                got, at = self._best(i, words, h, one, end)
+                if got >= THRESHOLD and got > best.get((d, i), (0.0, 0))[0]:
+                    best[d, i] = (got, at - int(first[d]))
         return [(d, self.ids[i], got, at) for (d, i), (got, at) in sorted(best.items())]
 
+    def _best(self, item: int, words: np.ndarray, h: np.ndarray, one: int, end: int) -> tuple[float, int]:
+        """The greatest similarity of an item and a passage of the words from one to end, and where that passage begins."""
+        n = int(self.sizes[item])
+        if n < SIZE:  # only its own words make its shingle
+            tried = [(self.similarity(item, self._passage(words, h, s, n)), -s) for s in range(one, end - n + 1)]
+            got, at = max(tried, default=(0.0, 0))
+            return got, -at
+        own, last = h[one : max(one, end - SIZE + 1)].tolist(), {}
+        before = np.empty(len(own), np.int64)  # where a shingle stood last: it counts in passages that begin after that
+        for j, x in enumerate(own):
+            before[j] = last.get(x, -1)
+            last[x] = j
+        weight = np.array([self.weight.get(x, self.most) for x in own])
+        shared = np.where([x in self.sets[item] for x in own], weight, 0.0)
+        longest = n - SIZE + 1 + 2 * int(self.slack[item])
+        best = (0.0, one)
+        for a in range(0, len(own), _STARTS):
+            starts = np.arange(a, min(len(own), a + _STARTS))[:, None]
+            ends = np.arange(a, min(len(own), a + _STARTS + longest))
+            counts = (ends >= starts) & (before[ends] < starts)
+            held = np.cumsum(np.where(counts, shared[ends], 0.0), axis=1)
+            every = np.cumsum(np.where(counts, weight[ends], 0.0), axis=1)
+            got = held / (self.total[item] + every - held)
+            k = int(got.argmax())
+            if got.flat[k] > best[0]:
+                best = (float(got.flat[k]), one + a + k // len(ends))
+        return best
+
     def _likely(self, start: np.ndarray, item: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Which places' surroundings hold enough of the item's weight, each shingle counted once."""
         enough = (THRESHOLD - 1e-6) * self.total[item]
         likely = np.arange(len(start))
         for once in (False, True):  # with repeats first, which is an upper bound
             own = item[likely]
-            count = np.maximum(self.sizes[own] - SIZE + 1, 1) + 4 * SLACK
+            count = np.maximum(self.sizes[own] - SIZE + 1, 1) + 2 * self.slack[own]
             row = np.repeat(np.arange(len(likely)), count)
-            place = np.repeat(start[likely] - 2 * SLACK - (np.cumsum(count) - count), count) + np.arange(len(row))
+            place = np.repeat(start[likely] - self.slack[own] - (np.cumsum(count) - count), count) + np.arange(len(row))
             cut = h.take(place.clip(0, len(h) - 1)) >> np.uint64(20)
             if once:
                 key = np.unique((row.astype(np.uint64) << np.uint64(44)) | cut)

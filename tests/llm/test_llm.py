@@ -219,6 +219,20 @@ def test_decontamination(spark):
     assert decontamination.matches(table.limit(0), bench).count() == 0 and decontamination.matches(table, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_passages_of_other_lengths():
+    rng = random.Random(12)
+    items = [(i, words(rng, 59)) for i in range(30)]
+    index = decontamination.Index([*items, *((100 + i, words(rng, 40)) for i in range(40))])
+    cut, longer = [], []
+    for _, t in items:
+        w = t.split()
+        cut.append(" ".join([words(rng, 80), *w[:49], words(rng, 80)]))  # 45 of 55 shingles
+        longer.append(" ".join([words(rng, 80), *w[:30], words(rng, 4), *w[30:], words(rng, 80)]))  # 51 of 63
+    for texts, want in ((cut, 45 / 55), (longer, 51 / 63)):
+        found = index.search(pa.array(texts))
+        assert len(found) >= 20 and all(d == i and math.isclose(got, want, abs_tol=0.02) and at == 80 for d, i, got, at in found)
+
+
 def test_url_filter(spark, tmp_path):
     urls = ["http://a.example.com/en/1", "https://www.EXAMPLE.com/en/2?x", "http://b.net/fr/3#t", "http://com", None, "nothing", "http://notexample.com/en/", "http://x.org?q=/en/"]
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))

@@ -338,14 +338,24 @@ def semihard_negative(spark: SparkSession, d: str) -> DataFrame:
     return found.select("anchor", F.coalesce("x.vec_id", "y.vec_id").alias("negative"))
 
 
+def _levels(low: int | None, high: int | None) -> int:
+    """Levels that chains p -> 3p + 7 have at most among keys from low to high. They rise from -3 on and fall from -4 on, so none has a cycle."""
+    n = 0
+    if low is not None:
+        up, down = max(low, -3), min(high, -4)
+        while 3 * up + 7 <= high or 3 * down + 7 >= low:
+            up, down, n = 3 * up + 7, 3 * down + 7, n + 1
+    return n
+
+
 @_q("""WITH RECURSIVE tree(root, p, scale, depth) AS (SELECT p_partkey, p_partkey, CAST(1 AS BIGINT), 0 FROM part UNION ALL SELECT root, 3 * p + 7, scale * 2, depth + 1 FROM tree JOIN part ON p_partkey = 3 * p + 7 WHERE depth < 6)
 SELECT root, count(*) AS n, CAST(sum(scale) AS BIGINT) AS scale FROM tree GROUP BY root""")
 def lineage_recursive(spark: SparkSession, d: str) -> DataFrame:
-    """Each part with all it refers to, to a depth of six: one join on equality a level."""
+    """Each part with all it refers to, to any depth: one join on equality a level. The SQL stops after six levels."""
     part = views.table(spark, d, "part").select("p_partkey")
     level = part.select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("p"), F.lit(1).cast("long").alias("scale"))
     every = level
-    for _ in range(6):
+    for _ in range(_levels(*part.agg(F.min("p_partkey"), F.max("p_partkey")).first())):
         level = level.select("root", (3 * F.col("p") + 7).alias("p"), F.col("scale") * 2).toDF("root", "p", "scale").join(part, F.col("p") == F.col("p_partkey"), "left_semi")
         every = every.unionByName(level)
     return every.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("scale").alias("scale"))

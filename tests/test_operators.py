@@ -84,3 +84,18 @@ def test_csv_rows(spark):
 def test_keys_and_colours(spark):
     row = spark.range(1).select(C.vision_key(F.lit("light bluish gray color"), F.lit("plate 1 x 2")).alias("k"), C.inventory_key(F.lit("3001"), F.lit(None), F.lit(None)).alias("i"), C.quantity(F.lit("see 12 X")).alias("q")).first()
     assert row == ("vision:bluish gray light|1 2 plate x", "3001|None", 12)
+
+
+def test_lineage_goes_to_any_depth(spark, tmp_path):
+    from binmap.plans import queries
+
+    spark.range(1, 20_001).toDF("p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    want = {}
+    for root in range(1, 20_001):
+        p, n = root, 0
+        while p <= 20_000:
+            p, n = 3 * p + 7, n + 1
+        want[root] = (n, 2**n - 1)
+    got = {r.root: (r.n, r.scale) for r in queries.lineage_recursive(spark, str(tmp_path)).collect()}
+    assert got == want and got[1] == (8, 255)
+    assert [queries._levels(*x) for x in ((None, None), (5, 5), (1, 10), (-17, -4))] == [0, 0, 1, 3]

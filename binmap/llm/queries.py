@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,18 +107,36 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Rules as (action, host, path).
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-#: The small labelled table: for each host suffix, the sections to allow and those to block.
-URL_LABELS = (
-    ("example.com", ("fr", "de", "es", "it", "docs", "about"), ("casino", "adult", "spam", "pills", "betting")),
-    ("example.net", ("de", "en", "it", "docs", "about"), ("es", "fr", "casino", "adult", "spam", "pills", "betting")),
-    ("example.org", ("en", "de", "es", "fr", "it", "docs", "about"), ("casino", "adult", "spam", "pills", "betting")),
-)
-URL_HOSTS = (("", 0), ("www.", 0), ("blog.", 0), ("news.", 0), ("casino.", 1), ("win.casino.", 1), ("spam.", 1), ("free.pills.", 1))
-
-
-def url_labels() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block) of the labelled table."""
-    return [(name + suffix, f"/{section}/{number}", bad | blocked) for suffix, allowed, refused in URL_LABELS for name, bad in URL_HOSTS for blocked, sections in ((0, allowed), (1, refused)) for number, section in enumerate(sections)]
+#: Words of the labelled table's unwanted hosts and sections, and the parts of its neutral ones.
+URL_BAD = ("casino", "betting", "poker", "pills", "viagra", "adult", "porn", "spam", "malware", "phishing", "ads", "track", "clickbait", "torrent", "warez", "bets")
+URL_PLAIN = ("docs", "about", "shop", "travel", "garden", "music", "science", "museum", "school", "weather", "recipes", "football", "library", "city", "health", "photo")
+URL_OPEN, URL_VOWEL, URL_CLOSE = ("b", "k", "th", "m", "r", "s", "t", "w", "h", "l", "st", "sh", "p", "d", "n", "f"), ("a", "e", "i", "o", "u", "ou", "ea", "io"), ("", "n", "r", "s", "nd", "th", "ng", "ble", "t", "re", "ly", "tion")
+URL_BEFORE, URL_JOINED = ("", "www.", "blog.", "m.", "news."), ("free", "best", "my", "the")
+URL_DOMAINS = ("example.com", "example.net", "example.org", "example.edu")
+
+
+def url_labels(names: int = 2000) -> list[tuple[str, str, int]]:
+    """(host, path, 1 to block) of the small labelled table: as many to block as to allow, of many shapes.
+
+    Neutral hosts are made of syllables or plain words, unwanted ones hold a bad word, alone or joined to another; a
+    neutral host with a bad section is unwanted too. The choices go round by remainders, so the table is always the same.
+    """
+    out = []
+    syllable = lambda n: URL_OPEN[n % 16] + URL_VOWEL[n // 16 % 8] + URL_CLOSE[n // 128 % 12]
+    for i in range(names):
+        name = "".join(syllable(zlib.crc32(f"{i} {k}".encode())) for k in range(2 + i % 3))
+        plain, bad, joined = URL_PLAIN[(i + i // 16) % 16], URL_BAD[(i * 7 + i // 16) % 16], URL_JOINED[i // 5 % 4]
+        host = (name, plain, f"{joined}-{plain}", f"{plain}{name}", f"{name}-{plain}")[i % 5]
+        hidden = (bad, f"{joined}-{bad}", f"{bad}-{plain}", f"{bad}{i % 10}", f"{name}-{bad}")[i // 16 % 5]
+        before, domain = URL_BEFORE[i // 3 % 5], URL_DOMAINS[i // 5 % 4]
+        section = (("en", "de", "fr", "es", "it")[i // 2 % 5], plain, f"{2000 + i % 25}/{1 + i % 12:02d}", "wiki")[i // 4 % 4]
+        tail = (f"{i * 37 % 1000}", f"{i * 37 % 1000}/", f"{i * 53 % 1000}.html", f"{name}-{i % 10}", "")[i // 7 % 5]
+        out.append((f"{before}{host}.{domain}", f"/{section}/{tail}", 0))
+        if i % 4 == 3:
+            out.append((f"{before}{host}.{domain}", f"/{bad}/{tail}", 1))
+        else:
+            out.append((f"{before}{hidden}.{domain}", f"/{section}/{tail}", 1))
+    return out
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

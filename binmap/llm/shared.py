@@ -15,6 +15,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
+def fresh(columns: list[str], *added: str) -> None:
+    """Raise ValueError if a column that is to be added is there already; Spark's names don't differ by case."""
+    there = {c.lower() for c in columns}
+    if clash := [c for c in added if c.lower() in there]:
+        raise ValueError(f"columns exist already: {clash}")
+
+
+def inner_name(columns: list[str], name: str) -> str:
+    """A name for a column of the operator's own that none of columns has."""
+    there = {c.lower() for c in columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder in spark.checkpoint.dir; one is set only where that is unset (local runs and tests)."""
     sc = spark.sparkContext
@@ -31,8 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """URI of a fresh folder for one run of one operator."""
-    return f"{shared_dir(spark)}/binmap/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """URI of a fresh folder for one run of one operator. All folders of an application are removed when its driver ends."""
+    own = f"{shared_dir(spark)}/binmap/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_remove, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_OWN: set[str] = set()
+
+
+def _remove(uri: str) -> None:
+    """Remove a folder as far as it can be."""
+    with contextlib.suppress(Exception):
+        if (path := _local(uri)) is not None:
+            shutil.rmtree(path, ignore_errors=True)
+        else:
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(uri)
+            store.delete_dir(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -11,9 +11,9 @@ A byte-level BPE tokenizer is turned into two deterministic transducers.
   transitions are compiled when first met and kept in a dense table.
 
 Texts are cut into chunks that are run side by side. A chunk's state map is constant behind its first
-pre-token boundary; before it the map runs the chunk's head from whatever state enters. The
-maps are composed by a scan over the chunks: first all constant parts, then all heads whose entering state
-is known, until none is left. The counts are exactly the library's.
+pre-token boundary; before it the map has a row for each state that may enter: the state at the end and the tokens.
+Few do, since the transducer soon forgets. The maps are composed by a parallel prefix scan over the chunks, so a
+pre-token of any length takes few rounds. The counts are exactly the library's.
 
 Nulls count as empty (no tokens). Special strings inside texts are one token each, as by the library's
 default. Repeated rows each get their count; an empty table gives an empty result.
@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
 from .words import buffers, pieces
 
 LETTER, NUMBER, OTHER, BLANK, SPACE, EDGE, UNKNOWN = range(7)
@@ -39,6 +40,8 @@ CHUNK = 192
 FEW = 24
 #: Compiled states kept at most between batches; beyond that the table is compiled anew.
 MOST_STATES = 250_000
+#: Rows of a chunk's state map that are made ahead; states that surely enter are added beyond that.
+MOST_ENTERING = 48
 
 
 def _byte_letters() -> dict[str, int]:
@@ -263,6 +266,59 @@ class Tokenizer:
         fresh[lead[begins]] = True
         return fresh
 
+    def _heads(self, symbols: np.ndarray, starts: np.ndarray, head: np.ndarray, stops: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Tokens of each chunk's head, the part before its first boundary. state: at the chunk's end if it has a boundary.
+
+        The map of a head is a row for each state that may enter it: the state at its end and the tokens. Maps of chunks
+        without a boundary are made side by side, first from the state that the chunk before ends in when begun afresh; a
+        state that a map may hand on and the next map lacks is added to that one, until a path leads through every
+        head. A chain of maps is then composed by doubling.
+        """
+        out = np.zeros(len(starts), np.int64)
+        wait = np.flatnonzero(head > starts)
+        if not len(wait):
+            return out
+        known, open_ = head < stops, head == stops  # open: the state at the end depends on the one that enters
+        chunk, enters = wait, state[wait - 1].astype(np.int64)
+        guess = np.flatnonzero(~known[wait - 1])
+        if len(guess):
+            before = wait[guess] - 1
+            enters[guess] = self.transducer.run(symbols, starts[before], head[before], np.zeros(len(guess), np.int64))[0]
+        width = np.int64(1) << 32
+        keys = leaves = counts = np.empty(0, np.int64)  # rows of all maps, by chunk and entering state
+        new = np.unique(chunk * width + enters)
+        while True:
+            at, enters = new // width, new % width
+            end, more = self.transducer.run(symbols, starts[at], head[at], enters)
+            keys, leaves, counts = np.concatenate([keys, new]), np.concatenate([leaves, end.astype(np.int64)]), np.concatenate([counts, more.astype(np.int64)])
+            order = np.argsort(keys)
+            keys, leaves, counts = keys[order], leaves[order], counts[order]
+            owner = keys // width
+            follows = open_[owner] & (owner + 1 < len(starts)) & (head[np.minimum(owner + 1, len(starts) - 1)] > starts[np.minimum(owner + 1, len(starts) - 1)])
+            handed = np.where(follows, (owner + 1) * width + leaves, -1)
+            place = np.minimum(np.searchsorted(keys, handed), len(keys) - 1)
+            found = follows & (keys[place] == handed)
+            reached = self._reached(keys, np.where(found, place, -1), state, known)
+            if reached.sum() == len(wait):  # one row of each map
+                np.add.at(out, owner[reached], counts[reached])
+                return out
+            missing = follows & ~found
+            per = np.bincount(owner, minlength=len(starts))
+            missing &= reached | (per[np.minimum(owner + 1, len(starts) - 1)] < MOST_ENTERING)  # a state that surely enters is always added
+            new = np.unique(handed[missing])
+
+    @staticmethod
+    def _reached(keys: np.ndarray, onward: np.ndarray, state: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Which rows lie on the paths from known states: onward has each row's next row (-1: none), and paths are followed by doubling."""
+        width = np.int64(1) << 32
+        owner = keys // width
+        reached = known[owner - 1] & (state[owner - 1] == keys % width)
+        jump = onward.copy()
+        while (live := jump >= 0).any():
+            reached[jump[live & reached]] = True
+            jump = np.where(live, jump[np.maximum(jump, 0)], -1)
+        return reached
+
     def _count(self, texts: pa.Array) -> np.ndarray:
         data, offsets = buffers(texts)
         if not len(data):
@@ -280,16 +336,7 @@ class Tokenizer:
         edges = np.concatenate([np.flatnonzero(fresh), [len(data)]])
         head = np.minimum(edges[np.searchsorted(edges, starts)], stops)  # from here on a chunk's map is constant
         state, count = fst.run(symbols, head, stops, np.zeros(len(starts), np.int64))
-        known = head < stops  # the state at the chunk's end is known
-        wait = np.flatnonzero(head > starts)
-        while len(wait):  # the scan: each round composes every head with the known map before it
-            ready = wait[known[wait - 1]]
-            end, more = fst.run(symbols, starts[ready], head[ready], state[ready - 1])
-            count[ready] += more
-            whole = head[ready] == stops[ready]
-            state[ready[whole]] = end[whole]
-            known[ready] = True
-            wait = wait[~np.isin(wait, ready)]
+        count += self._heads(symbols, starts, head, stops, state)
         return np.bincount(doc, count, len(sizes)).astype(np.int64)
 
     def count(self, texts: pa.Array) -> np.ndarray:
@@ -325,8 +372,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", into: str = "n_to
     the result raises ValueError.
     """
     keep = df.columns if keep is None else keep
-    if into in keep:
-        raise ValueError(f"there is a column {into} already")
+    fresh(keep, into)
     inner = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").cast("string").alias("t"))
     names = [f"c{i}" for i in range(len(keep))]
 

@@ -1,16 +1,18 @@
 """Benchmark decontamination by SimHash windows.
 
-Every benchmark item has two windows of about its own size, its first and its last W words, W being the largest of a fixed
-series of lengths that fits. Each run of W words of a document, at every place, has a 64-bit SimHash of its
+Every benchmark item has windows of its own size: of W words, W being the largest number of a fixed series that fits, at least
+four fifths of the item, at its first and its last words. An item of more than twice MOST_WORDS words has windows of that
+many all along it. Each run of W words of a document, at every place, has a 64-bit SimHash of its
 words. Fingerprints are compared through BLOCKS blocks of 16 bits: two that differ in at most RADIUS bits agree in one
 block up to RADIUS // BLOCKS bits, and all such variants of the items' blocks are in the index, so every window
 within the radius of an item's is found. Each such place is then verified: the item's weighted five-word
-shingles against those of every passage in the place's surroundings, a quarter of the item further on both sides.
-A shingle weighs 1 + log(items / items that hold it).
+shingles against those of every passage in the place's surroundings, as long and as far off as the threshold allows.
+A shingle weighs 1 + log(items / items that hold it), items being those of the block.
 
-The benchmark is taken in blocks of at most BLOCK_ITEMS items, each broadcast; any number of items is thus held in
-bounded memory. Null and empty texts and items have no windows. An item of fewer than five words is one
-shingle. Repeated items and rows are each reported. Empty tables give an empty result.
+The benchmark is dealt by hash to blocks of about BLOCK_ITEMS items, files in the shared folder, and a worker holds the index
+of one block at a time; any number of items thus takes bounded memory, and no item passes through the driver. Null and empty
+texts and items have no windows. An item of fewer than five words is one shingle. Repeated items and rows are each
+reported. Empty tables give an empty result. Other columns of docs stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import new_folder, open_file, write_file, written
 from .words import buffers, hashes, pieces, shingles, spans
 
 SIZE, THRESHOLD = 5, 0.8
 BLOCKS, RADIUS = 4, 11
 BLOCK_ITEMS = 5_000
-#: Words of an item at most that its windows span; a longer item has windows at its ends.
-LENGTHS = (1, 2, 3, 4, 5, 7, 9, 12, 16, 22, 30, 40, 54, 73, 99, 134, 181, 245)
+#: Words of a window at most: its bits are counted in bytes. Longer items have windows of that size over their whole length.
+MOST_WORDS = 255
 #: Words by which a verified passage may go beyond its place at least; a quarter of the item's shingles if that is more.
 SLACK = 2
 _STEP = 4_096
@@ -58,8 +62,22 @@ def fingerprints(sums: np.ndarray, length: int) -> np.ndarray:
     return np.packbits(sums[length:] - sums[:-length] > length // 2, axis=1).view(np.uint64).ravel()
 
 
-def _variants(value: int, errors: int) -> list[int]:
-    return [value ^ sum(1 << i for i in flips) for n in range(errors + 1) for flips in combinations(range(16), n)]
+def window_length(n: int) -> int:
+    """Words of the windows of an item of n words: the largest of a series that grows by a quarter, so at least four fifths of n."""
+    length = 1
+    while (longer := max(length + 1, length * 5 // 4)) <= min(n, MOST_WORDS):
+        length = longer
+    return length
+
+
+def window_starts(n: int, length: int) -> list[int]:
+    """Where an item's windows begin: at both ends, and in between so that each overlaps the next by half."""
+    return sorted({*range(0, n - length + 1, max(1, length // 2)), n - length}) if n > 2 * length else sorted({0, n - length})
+
+
+def _flips(errors: int) -> np.ndarray:
+    """All 16-bit masks of at most so many bits."""
+    return np.array([sum(1 << i for i in flips) for n in range(errors + 1) for flips in combinations(range(16), n)], np.int64)
 
 
 class Index:
@@ -79,7 +97,9 @@ class Index:
         self.weight = {x: 1 + math.log(len(items) / n) for x, n in held.items()}
         self.sets = sets
         counts = np.maximum(self.sizes - SIZE + 1, 1)
-        self.slack = SLACK + np.ceil(counts * (1 / THRESHOLD - 1) - 1e-9).astype(np.int64)
+        slack = SLACK + np.ceil(counts * (1 / THRESHOLD - 1) - 1e-9).astype(np.int64)
+        self.step = np.maximum(1, slack // 2)
+        self.slack = slack + self.step
         self.total = np.array([sum(self.weight[x] for x in s) for s in sets])
         keys = sorted({(i, x) for i, s in enumerate(sets) for x in s})
         self.pair = np.array([(i << 44) | (x >> 20) for i, x in keys], np.uint64)
@@ -89,20 +109,20 @@ class Index:
         windows: dict[int, list[tuple[int, int, int]]] = {}  # by length: (fingerprint, item, words of the item before it)
         for i, n in enumerate(self.sizes):
             if n:
-                length = max(x for x in LENGTHS if x <= n)
+                length = window_length(int(n))
                 made = fingerprints(_sums(words[first[i] : first[i + 1]]), length)
-                for at in {0, int(n) - length}:
+                for at in window_starts(int(n), length):
                     windows.setdefault(length, []).append((int(made[at]), i, at))
-        self.windows = {}
+        self.windows, flips = {}, _flips(RADIUS // BLOCKS)
         for length, found in windows.items():
             prints = np.array([f for f, _, _ in found], np.uint64)
             blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
             # One table for all blocks: row (block << 16) + value has the windows of which it is a variant.
-            pairs = np.array([(b << 16 | v, w) for b in range(BLOCKS) for w, x in enumerate(blocks[:, b]) for v in _variants(int(x), RADIUS // BLOCKS)], np.int64)
-            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-            edges = np.searchsorted(pairs[:, 0], np.arange((BLOCKS << 16) + 1))
+            rows = ((np.arange(BLOCKS) << 16 | blocks.astype(np.int64))[:, :, None] ^ flips).reshape(len(prints), -1)
+            order = np.argsort(rows, axis=None, kind="stable")
+            edges = np.searchsorted(rows.ravel()[order], np.arange((BLOCKS << 16) + 1))
             count = np.diff(edges).astype(np.int32)
-            table = (count > 0, edges[:-1].astype(np.int32), count, pairs[:, 1].astype(np.int32))
+            table = (count > 0, edges[:-1].astype(np.int32), count, (order // rows.shape[1]).astype(np.int32))
             self.windows[length] = (prints, np.array([i for _, i, _ in found]), np.array([a for _, _, a in found]), table)
 
     @staticmethod
@@ -153,8 +173,10 @@ class Index:
         item = np.concatenate([i for _, i in found])
         if not len(start):
             return []
-        one = np.unique(np.stack([start, item]), axis=1)
-        start, item = one
+        # Places close together have nearly the same surroundings: each stands for those up to a step behind it.
+        start -= start % self.step[item]
+        key = np.unique(start * len(self.ids) + item)
+        start, item = np.divmod(key, len(self.ids))
         # The text's part that any moved passage lies in must hold enough of the item's weight.
         h = np.zeros(len(words), np.uint64)
         made, _, at = shingles(words, first, SIZE)
@@ -233,68 +255,78 @@ class Index:
         return set(made.tolist())
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list:
-    """Broadcast indexes, of at most about BLOCK_ITEMS items each."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[str]:
+    """Files in the shared folder, each with at most about BLOCK_ITEMS distinct items; executors write and read them."""
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
+    items = items.groupBy("i", "t").agg(F.count(F.lit(1)).alias("n"))
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    sc = benchmark.sparkSession.sparkContext
-    out = []
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        out.append(sc.broadcast([(r.i, r.t) for r in part]))
-    return out
+    folder = new_folder(benchmark.sparkSession, "benchmark")
 
+    def save(key: tuple, table: pa.Table) -> pa.Table:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table.sort_by([("i", "ascending"), ("t", "ascending")]))
+        path = f"{folder}/{key[0].as_py()}"
+        write_file(path, [out.getvalue().to_pybytes()])
+        return pa.table({"path": [path]})
 
-_INDEXES: dict[int, Index] = {}
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    return sorted(r.path for r in dealt.groupBy("block").applyInArrow(save, "path string").collect())  # a name a block
 
 
-def _index(block) -> Index:
-    """The worker's index of a broadcast block."""
-    if block.id not in _INDEXES:
-        _INDEXES[block.id] = Index(block.value)
-    return _INDEXES[block.id]
+_INDEXES: dict[str, tuple[Index, list[int]]] = {}
 
 
-class _Handle:
-    """A broadcast block, with a name by which a worker keeps its index."""
-
-    def __init__(self, block, name: int):
-        self.block, self.id = block, name
-
-    @property
-    def value(self) -> list[tuple[int, str]]:
-        return self.block.value
+def _index(path: str) -> tuple[Index, list[int]]:
+    """The index of a block, and how often each of its items is there. A worker holds one at a time."""
+    if path not in _INDEXES:
+        _INDEXES.clear()
+        with open_file(path) as f:
+            table = pa.ipc.open_stream(pa.BufferReader(f.read())).read_all()
+        rows = table.to_pydict()
+        _INDEXES[path] = Index(list(enumerate(rows["t"]))), list(zip(rows["i"], rows["n"], strict=True))
+    return _INDEXES[path]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, similarity, first_word) for every document and item that it holds a passage of."""
+    """(doc_id, item_id, similarity, first_word) for every document and item that it holds a passage of. One pass for each block of items."""
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    handles = [_Handle(b, b._jbroadcast.id()) for b in _blocks(benchmark, item_id, item_text)]
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ids = batch.column("text"), batch.column("id").to_pylist()
-            for a, b in pieces(texts):
-                for handle in handles:
-                    rows = [{"doc_id": ids[a + d], "item_id": i, "similarity": s, "first_word": at} for d, i, s, at in _index(handle).search(texts.slice(a, b - a))]
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
+    def searched(path: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, ids = batch.column("text"), batch.column("id").to_pylist()
+                index, items = _index(path)
+                for a, b in pieces(texts):
+                    rows = [{"doc_id": ids[a + d], "item_id": items[i][0], "similarity": s, "first_word": at} for d, i, s, at in index.search(texts.slice(a, b - a)) for _ in range(items[i][1])]
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return plain.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
+        return plain.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
+
+    found = [searched(path) for path in _blocks(benchmark, item_id, item_text)]
+    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long")
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs whose text holds no passage of an item."""
+    """The rows of docs whose text holds no passage of an item. Between two blocks of items what is left is written."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain, at = docs.toDF(*names), names[docs.columns.index(text)]
-    handles = [_Handle(b, b._jbroadcast.id()) for b in _blocks(benchmark, item_id, item_text)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at)
-            clean = np.ones(len(batch), bool)
-            for a, b in pieces(texts):
-                for handle in handles:
-                    clean[[a + d for d, *_ in _index(handle).search(texts.slice(a, b - a))]] = False
-            yield batch.filter(pa.array(clean))
-
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+    def cleared(left: DataFrame, path: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(at)
+                clean = np.ones(len(batch), bool)
+                for a, b in pieces(texts):
+                    clean[[a + d for d, *_ in _index(path)[0].search(texts.slice(a, b - a))]] = False
+                yield batch.filter(pa.array(clean))
+
+        return left.mapInArrow(run, plain.schema)
+
+    paths = _blocks(benchmark, item_id, item_text)
+    for i, path in enumerate(paths):
+        plain = cleared(plain, path)
+        if i + 1 < len(paths):
+            plain = written(plain, "cleared")
+    return plain.toDF(*docs.columns)

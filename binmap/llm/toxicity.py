@@ -7,8 +7,9 @@ often, and every word that holds a character n-gram they have so, in front of a
 dictionary alone. A document's score is the calibrated probability, by a logistic regression on its windows' savings of both
 kinds, with the labels' true proportions.
 
-The fit uses at most FIT_DOCS[label] labelled documents of each label for the dictionaries, and half as many others for the
-calibration, chosen by a hash of their ids. Scoring takes all windows of every text.
+The fit uses at most FIT_DOCS[label] labelled documents of each label for the dictionaries, and of each at most FIT_WINDOWS
+windows, chosen by a hash; and half as many other documents, whole, for the calibration, whose few features alone come to the
+driver. The documents are chosen by a hash of their ids. Scoring takes all windows of every text.
 
 Null and empty texts have no savings and get the score of a text without any. Repeated rows are scored alike. If
 the labelled rows lack one of the labels, every score is the share of toxic labels (0 if there are none).
@@ -19,17 +20,22 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .shared import fresh, written
 
 #: Labelled documents for the dictionaries, by label.
 FIT_DOCS = {1: 800, 0: 1600}
+#: Windows of each that its dictionaries see at most.
+FIT_WINDOWS = 128
 WINDOW, GRAM = 24, 5
 LEVEL = 12
 #: Bytes of each dictionary of whole windows, and of the ordinary one behind the own words.
@@ -154,24 +160,44 @@ def _logistic(x: np.ndarray, y: np.ndarray, importance: np.ndarray, decay: float
     return beta
 
 
-def fit(dictionary: Sequence[tuple[str, int]], calibration: Sequence[tuple[str, int]], toxic: int, ordinary: int) -> Model:
-    """The model of (text, label) rows; toxic and ordinary: how many of all labels are which."""
-    by = {k: _distinct([t for t, label in dictionary if label == k]) for k in (0, 1)}
-    share = toxic / max(1, toxic + ordinary)
-    y = np.array([label for _, label in calibration], float)
-    if not by[0] or not by[1] or not 0 < y.sum() < len(y):
-        return Model(b"", b"", (b"", b""), [0.0] * _FEATURES, [1.0] * _FEATURES, math.log(max(share, 1e-12) / max(1 - share, 1e-12)))
+def _uncalibrated(texts: dict[int, list[str]]) -> Model | None:
+    """The dictionaries of ordinary texts (0) and toxic ones (1); None if one kind lacks."""
+    by = {k: _distinct(texts[k]) for k in (0, 1)}
+    if not by[0] or not by[1]:
+        return None
     samples = {k: [w for t in by[k] for w in windows(t)] for k in by}
     whole = (_dictionary(WHOLE_BYTES, samples[0]), _dictionary(WHOLE_BYTES, samples[1]))
-    model = Model(_dictionary(ORDINARY_BYTES, samples[0]), _own_words(by[1], by[0]), whole, [0.0] * _FEATURES, [1.0] * _FEATURES, 0.0)
-    scorer = Scorer(model)
-    x = np.array([scorer.features(t) for t, _ in calibration])
+    return Model(_dictionary(ORDINARY_BYTES, samples[0]), _own_words(by[1], by[0]), whole, [0.0] * _FEATURES, [1.0] * _FEATURES, 0.0)
+
+
+def _calibrated(model: Model | None, x: np.ndarray, y: np.ndarray, toxic: int, ordinary: int) -> Model:
+    """The model with weights from features and labels; toxic and ordinary: how many of all labels are which."""
+    share = toxic / max(1, toxic + ordinary)
+    if model is None or not 0 < y.sum() < len(y):
+        return Model(b"", b"", (b"", b""), [0.0] * _FEATURES, [1.0] * _FEATURES, math.log(max(share, 1e-12) / max(1 - share, 1e-12)))
     scale = np.maximum(x.std(0), 1e-6)
     importance = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     *weights, bias = _logistic(x / scale, y, importance).tolist()
     return Model(model.ordinary, model.own, model.whole, weights, scale.tolist(), bias)
 
 
+def fit(dictionary: Sequence[tuple[str, int]], calibration: Sequence[tuple[str, int]], toxic: int, ordinary: int) -> Model:
+    """The model of (text, label) rows; toxic and ordinary: how many of all labels are which."""
+    model = _uncalibrated({k: [t for t, label in dictionary if label == k] for k in (0, 1)})
+    scorer = Scorer(model) if model else None
+    x = np.array([scorer.features(t) for t, _ in calibration] if scorer else [])
+    return _calibrated(model, x, np.array([label for _, label in calibration], float), toxic, ordinary)
+
+
+def _sampled(text: str | None) -> str:
+    """At most FIT_WINDOWS windows of a text, in order, chosen by a hash."""
+    found = windows(text)
+    if len(found) > FIT_WINDOWS:
+        chosen = sorted(range(len(found)), key=lambda i: zlib.crc32(found[i] + b"%d" % i))[:FIT_WINDOWS]
+        found = [found[i] for i in sorted(chosen)]
+    return b" ".join(found).decode()
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of docs (doc_id, text) that labels (doc_id, toxic) marks; rows without a label don't count."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -179,31 +205,57 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.xxhash64("doc_id")
     chosen = [labels.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n + n // 2) for k, n in FIT_DOCS.items()]
     chosen = chosen[0].unionByName(chosen[1])  # at most FIT_DOCS and half as many again
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).withColumn("order", order).collect()
-    parts: dict[bool, list[tuple[str, int]]] = {True: [], False: []}
-    for k in FIT_DOCS:
-        rows = sorted((r for r in got if r.toxic == k), key=lambda r: (r.order, r.doc_id))
-        for i, r in enumerate(rows):
-            parts[i % 3 < 2].append((r.text or "", k))
-    return fit(parts[True], parts[False], counts.get(1, 0), counts.get(0, 0))
+    chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id")) - 1)
+    # A document that is there several times counts once, by its least text.
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))
+    got = written(got.select("toxic", "place", "text"), "toxicity-labelled")
+    learns = F.col("place") % 3 < 2
 
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(2, "text", pa.array([_sampled(t) for t in batch.column("text").to_pylist()], pa.string()))
 
-def scored(df: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """df with the toxicity score of each whole text. A column that is already called so raises ValueError."""
-    if into in df.columns:
-        raise ValueError(f"there is a column {into} already")
+    texts: dict[int, list[str]] = {0: [], 1: []}
+    for r in got.where(learns).mapInArrow(sampled, got.schema).orderBy("toxic", "place").collect():  # at most the sum of FIT_DOCS rows of FIT_WINDOWS windows
+        texts[r.toxic].append(r.text)
+    model = _uncalibrated(texts)
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            x = [scorer.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("place"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "place", "x"])
+
+    rows = got.where(~learns).mapInArrow(featured, "toxic int, place int, x array<double>").orderBy("toxic", "place").collect() if model else []
+    return _calibrated(model, np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float), counts.get(1, 0), counts.get(0, 0))
+
+
+def _with_scores(df: DataFrame, model: Model, text: str, schema: StructType, finish: Callable[[pa.RecordBatch, list[float]], pa.RecordBatch]) -> DataFrame:
     names = [f"c{i}" for i in range(len(df.columns))]
-    plain, at = df.toDF(*names), names[df.columns.index(text)]
+    at = names[df.columns.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            got = pa.array([scorer.score(t) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*names, "score"])
+            yield finish(batch, [scorer.score(t) for t in batch.column(at).to_pylist()])
+
+    return df.toDF(*names).mapInArrow(run, schema)
+
+
+def scored(df: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """df with the toxicity score of each whole text. A column that is already called so raises ValueError."""
+    fresh(df.columns, into)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    schema = StructType([*df.toDF(*names).schema.fields, StructField("score", DoubleType())])
+    add = lambda batch, got: pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*names, "score"])
+    return _with_scores(df, model, text, schema, add).toDF(*df.columns, into)
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("score", DoubleType())])).toDF(*df.columns, into)
+def below(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df whose score is less than the threshold, as they are, whatever their columns are called."""
+    schema = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).schema
+    keep = lambda batch, got: batch.filter(pa.array([s < threshold for s in got], pa.bool_()))
+    return _with_scores(df, model, text, schema, keep).toDF(*df.columns)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -6,7 +6,6 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from binmap.llm import decontamination, near_duplicates, packing, queries, toxicity
 from binmap.llm.shared import written
@@ -14,8 +13,7 @@ from binmap.llm.shared import written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose toxicity score is below the threshold; the model learns from the labels of docs."""
-    scored = toxicity.scored(docs.withColumnRenamed("score", "__score"), queries.toxicity_model(docs, spark, sf_dir))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*(F.col("__score" if c == "score" else f"`{c}`").alias(c) for c in docs.columns))
+    return toxicity.below(docs, queries.toxicity_model(docs, spark, sf_dir))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ Over the words of a text, each window of K words is a k-mer and each run of S wo
 substring. The k-mer is a closed syncmer if the least hash of its inner substrings stands at its first or
 last place. That depends on the k-mer alone, so equal passages give equal anchors wherever they stand.
 
-The fingerprint is all anchors in order, each with its place; the likeness of two fingerprints is the Jaccard
-similarity of their distinct hashes. A text of 1 to K - 1 words has one anchor, all its words.
+The fingerprint is all anchors in order, each with its place. The likeness of two fingerprints is positional: anchors match
+whose hashes are equal and whose offset is nearly that of a neighbouring match. A text of 1 to K - 1 words has one anchor, all its words.
 A text without words (also null) has none; two such fingerprints have likeness 1, one such and another 0.
 In a run of more than LONG characters without white space each character counts as a word.
 
-Everything is done by DataFrame functions, in as many places as there are words.
+Everything is done by DataFrame functions, in as many places as there are words. with_next() raises ValueError if a column of
+its own is there already.
 """
 
 from __future__ import annotations
@@ -19,9 +20,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 K, S = 5, 2
 #: Characters of a word at most.
 LONG = 40
+#: Words by which the offsets of two neighbouring matches may differ.
+DRIFT = 64
+#: Bits of a place; a hash keeps the others when fingerprints are matched. Texts have fewer than 2**_PLACE words.
+_PLACE = 27
 #: Rows that one range of ids is meant to hold, and ranges at most.
 RANGE_ROWS, MOST_RANGES = 2_000, 1 << 14
 
@@ -59,11 +66,44 @@ def anchors(text: Column) -> Column:
     return _let(hashed, lambda w: F.when(F.size(w) >= K, long(w)).when(F.size(w) > 0, short(w)).otherwise(none))
 
 
+def matches(a: Column, b: Column) -> Column:
+    """Anchors of a and b with equal hashes that keep their distance, as array<bigint>: a's place << _PLACE | b's place.
+
+    Both sides' anchors are sorted by hash and place as plain numbers; neighbours of equal hash and different sides are pairs. In the
+    order of a's places a pair counts if a pair next to it has nearly the same offset (or if one side has one anchor only), so
+    that an anchor found by chance, or in another order, matches nothing.
+    """
+    place = (1 << _PLACE) - 1
+    at = lambda x: F.shiftright(x, 1).bitwiseAND(F.lit(place))
+    coded = lambda x, side: F.transform(x, lambda y: F.shiftleft(y["hash"], _PLACE + 1).bitwiseOR(F.shiftleft(y["at"].cast("long").bitwiseAND(F.lit(place)), 1)).bitwiseOR(F.lit(side)))
+    odd = lambda x: x.bitwiseAND(F.lit(1))
+    of_a = lambda pair: F.shiftright(pair, _PLACE)
+    offset = lambda pair: pair.bitwiseAND(F.lit(place)) - of_a(pair)
+
+    def pairs(every: Column) -> Column:
+        def pair(x: Column, i: Column) -> Column:
+            y = F.get(every, i - 1)
+            same = (F.shiftright(x, _PLACE + 1) == F.shiftright(y, _PLACE + 1)) & (odd(x) != odd(y))
+            first, second = F.when(odd(x) == 0, at(x)).otherwise(at(y)), F.when(odd(x) == 0, at(y)).otherwise(at(x))
+            return F.when(same, F.shiftleft(first, _PLACE).bitwiseOR(second))
+
+        return F.sort_array(F.filter(F.transform(every, pair), lambda x: x.isNotNull()))
+
+    def chained(found: Column) -> Column:
+        near = lambda x, y: F.coalesce(F.abs(offset(x) - offset(y)) <= DRIFT, F.lit(False))
+        lone = F.least(F.size(a), F.size(b)) == 1
+        return F.filter(F.transform(found, lambda x, i: F.when(lone | near(x, F.get(found, i - 1)) | near(x, F.get(found, i + 1)), x)), lambda x: x.isNotNull())
+
+    every = F.sort_array(F.concat(coded(a, 0), coded(b, 1)))
+    return _let(_let(every, pairs), chained)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the distinct anchor hashes of two fingerprints."""
-    size = lambda x: F.size(F.array_distinct(x["hash"]))
-    of = lambda shared: shared / (size(a) + size(b) - shared)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_let(F.size(F.array_intersect(a["hash"], b["hash"])), of))
+    """Matched anchors of two fingerprints, of both sides, as a share of all: 2 s / (1 + s) for a Jaccard similarity s, given as s."""
+    places = lambda pairs: F.size(F.array_distinct(F.transform(pairs, lambda x: F.shiftright(x, _PLACE)))) + F.size(F.array_distinct(F.transform(pairs, lambda x: x.bitwiseAND(F.lit((1 << _PLACE) - 1)))))
+    every = F.size(a) + F.size(b)
+    share = _let(matches(a, b), lambda pairs: places(pairs) / every)
+    return F.when(every == 0, F.lit(1.0)).otherwise(_let(share, lambda x: x / (2 - x)))
 
 
 def as_text(anchors: Column) -> Column:
@@ -77,6 +117,7 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     Rows are dealt by ranges of the key whose bounds are keys that occur; a range's last row finds the
     first row of the next range in a copy, so no order spans a single task.
     """
+    fresh(df.columns, *(f"next_{c}" for c in columns), "__k", "__coarse", "__r", "__to", "__range", "__copy")
     least = -(1 << 63)
     k = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(least))
     rows, low = df.select(F.count(F.lit(1)), F.min(k)).first()

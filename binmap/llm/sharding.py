@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import fresh, inner_name, written
+
 #: Distinct rows that a slice of a shard is meant to hold, and slices per shard at most.
 SLICE_ROWS, MOST_SLICES = 20_000, 1 << 14
 
@@ -38,9 +40,8 @@ def assign(key: Column, weights: list[float], first: int = 0) -> Column:
 
 def with_shards(df: DataFrame, key: str, weights: list[float], into: str = "shard", grown: tuple[str, float] | None = None) -> DataFrame:
     """df with each row's shard, and (grown: column, weight) its shard were there one more of that weight."""
-    if clash := {into, *([grown[0]] if grown else [])} & {*df.columns}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    best = "__best"
+    fresh(df.columns, into, *([grown[0]] if grown else []))
+    best = inner_name(df.columns, "__best")
     k = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\0null"))
     out = df.withColumn(best, assign(k, weights))
     if grown:
@@ -49,20 +50,23 @@ def with_shards(df: DataFrame, key: str, weights: list[float], into: str = "shar
 
 
 def with_slots(df: DataFrame, shard: str, into: str = "slot") -> DataFrame:
-    """df with numbers 0, 1, ... for the rows of each shard, by a hash of the row and then by the row."""
-    cols = [f"`{c}`" for c in df.columns]
-    counted = df.groupBy(*(F.col(c) for c in cols)).agg(F.count(F.lit(1)).alias("__n"))
-    rows = df.select(F.count(F.lit(1))).first()[0]
+    """df with numbers 0, 1, ... for the rows of each shard, by a hash of the row and then by the row. A column into raises ValueError."""
+    fresh(df.columns, into)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    of_shard = names[[c.lower() for c in df.columns].index(shard.lower())]
+    # Read twice below, so written once: narrow rows, each distinct one with its count.
+    counted = written(plain.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "shard-rows")
+    rows = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slices = max(64, min(MOST_SLICES, -(-rows // SLICE_ROWS)))
-    counted = counted.withColumn("__slice", F.pmod(F.xxhash64(*(F.col(c) for c in cols)), F.lit(slices)))
-    of = [F.col(f"`{shard}`"), F.col("__slice")]
-    sizes = counted.groupBy(*of).agg(F.sum("__n").alias("__size"))
-    before = Window.partitionBy(f"`{shard}`").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(of[0].alias("__shard"), F.col("__slice").alias("__of"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy(*of).orderBy(*(F.col(c) for c in cols)).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counted.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    counted = counted.withColumn("slice", F.pmod(F.xxhash64(*names), F.lit(slices)))
+    sizes = counted.groupBy(of_shard, "slice").agg(F.sum("n").alias("size"))
+    before = Window.partitionBy(of_shard).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(of_shard).alias("shard"), F.col("slice").alias("of"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(of_shard, "slice").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counted.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     # One row per shard and slice: at most shards * MOST_SLICES short rows.
-    joined = numbered.join(F.broadcast(offsets), of[0].eqNullSafe(F.col("__shard")) & (of[1] == F.col("__of")))
-    first = F.col("__offset") + F.col("__before")
-    slots = F.when(F.col("__n") == 1, F.array(first)).otherwise(F.sequence(first, first + F.col("__n") - 1))
-    return joined.select(*(F.col(c) for c in cols), F.explode(slots).alias(into))
+    joined = numbered.join(F.broadcast(offsets), F.col(of_shard).eqNullSafe(F.col("shard")) & (F.col("slice") == F.col("of")))
+    first = F.col("offset") + F.col("before")
+    slots = F.when(F.col("n") == 1, F.array(first)).otherwise(F.sequence(first, first + F.col("n") - 1))
+    return joined.select(*names, F.explode(slots).alias("slot")).toDF(*df.columns, into)

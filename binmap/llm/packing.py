@@ -7,7 +7,7 @@ large enough and goes on to the successors until it meets a compatible bin, whic
 
 A document larger than a bin is cut into full bins and a rest; full pieces have bins of their own. No row
 is dropped: a null or empty text has size 1 (its end mark). Null sources and null clusters conflict with nothing.
-Repeated rows are packed one by one.
+Repeated rows are packed one by one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 CAPACITY = 2048
 #: Pieces that a group is meant to hold.
 GROUP = 1_000
@@ -28,9 +30,8 @@ SCHEMA = ", ".join(f"{c} {'string' if c == 'source' else 'long'}" for c in COLUM
 
 
 def size_of(text: Column) -> Column:
-    """Words of a text plus one for its end."""
-    trimmed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(trimmed == "", F.lit(1)).otherwise(F.length(trimmed) - F.length(F.translate(trimmed, " ", "")) + 2).cast("long")
+    """Words of a text, between white space (\\s), plus one for its end."""
+    return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")) + 1).cast("long")
 
 
 def _bits(keys: list) -> list[int]:
@@ -72,13 +73,16 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     simple = F.array(F.struct(F.lit(0).cast("long").alias("piece"), F.col("size")))
     cut = docs.withColumn("p", F.explode(F.when(F.col("size") <= capacity, simple).otherwise(F.filter(pieces, lambda x: x["size"] > 0))))
     cut = cut.select("doc_id", "source", "cluster", F.col("p.piece").alias("piece"), F.col("p.size").alias("size"))
-    rows = docs.select(F.sum(F.ceil(F.col("size") / capacity))).first()[0] or 0
+    # Sizes are found once. Equal rows are counted and numbered, so that many don't meet in one group, and however the
+    # input is split the groups are the same.
+    cut = written(cut.groupBy(*cut.columns).agg(F.count(F.lit(1)).alias("n")), "pieces")
+    rows = cut.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-int(rows) // GROUP))
-    # A repeated row is dealt by its own number, so that many equal rows don't meet in one group.
-    cut = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "cluster", F.monotonically_increasing_id()), F.lit(groups)))
+    cut = cut.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
+    cut = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "source", "size", "copy"), F.lit(groups))).drop("copy")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["doc_id", "source", "cluster", "piece", "size"]).to_pylist(), key=lambda r: (-r["size"], r["doc_id"] is not None, r["doc_id"] or 0, r["piece"], r["cluster"] or 0))
+        rows = sorted(table.select(["doc_id", "source", "cluster", "piece", "size"]).to_pylist(), key=lambda r: (-r["size"], r["doc_id"] is not None, r["doc_id"] or 0, r["piece"], r["cluster"] or 0, r["source"] or ""))
         got = pack([r["size"] for r in rows], _bits([r["source"] for r in rows]), _bits([r["cluster"] for r in rows]), capacity)
         first = key[0].as_py() << 24
         out = [{**r, "bin": first + b, "offset": o} for r, (b, o) in zip(rows, got, strict=True)]

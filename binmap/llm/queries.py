@@ -23,8 +23,8 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs as best_fit() takes them; exact copies are a cluster."""
-    return docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), packing.size_of(F.col("text")).alias("size"))
+    """docs as best_fit() takes them; exact copies are a cluster, empty texts are none."""
+    return docs.select("doc_id", "source", F.when(F.col("text") != "", F.xxhash64("text")).alias("cluster"), packing.size_of(F.col("text")).alias("size"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

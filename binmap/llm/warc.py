@@ -45,7 +45,9 @@ def with_types(pages: DataFrame) -> DataFrame:
     # Only digests that occur again are joined; AQE splits a digest that many pages share.
     same = same.where((F.col("n") > 1) & F.col("owner").isNotNull()).select(F.col("digest").alias("same"), "owner")
     other = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
-    joined = plain.join(same, F.col("digest") == F.col("same"), "left")
+    # Small payloads can't match, so the many equal ones don't meet.
+    large = plain.where(F.length("html") >= MIN_REVISIT).join(same, F.col("digest") == F.col("same"), "left")
+    joined = large.unionByName(plain.where(F.length("html") < MIN_REVISIT), allowMissingColumns=True)
     return joined.select("page_id", "url", "html", "digest", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("owner")).alias("refers_to"))
 
 
@@ -115,12 +117,9 @@ def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """The whole records of a gzip file of one or more members, each inflated once."""
     unpacker, data = zlib.decompressobj(31), bytearray()
     need = None  # bytes of the record at hand, once its header is there
-    for chunk in chunks:
-        while chunk:
-            data += unpacker.decompress(chunk)
-            chunk = b""
-            if unpacker.eof and unpacker.unused_data:
-                chunk, unpacker = unpacker.unused_data, zlib.decompressobj(31)
+
+    def whole() -> Iterator[bytes]:
+        nonlocal need
         at = 0
         while True:
             if need is None:
@@ -133,6 +132,17 @@ def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
             yield bytes(data[at : at + need])
             at, need = at + need, None
         del data[:at]
+
+    for chunk in chunks:
+        while chunk:
+            data += unpacker.decompress(chunk, BLOCK)  # so many bytes at once, however well they were packed
+            chunk = unpacker.unconsumed_tail
+            if unpacker.eof and unpacker.unused_data:
+                chunk, unpacker = unpacker.unused_data, zlib.decompressobj(31)
+            yield from whole()
+    while not unpacker.eof and (more := unpacker.decompress(unpacker.unconsumed_tail, BLOCK)):
+        data += more
+        yield from whole()
     if data or not unpacker.eof:
         raise ValueError("the archive ends within a record")
 

@@ -13,9 +13,10 @@
    these, so no link between texts that share a bucket is lost, and few texts meet that share a common passage only.
 4. Classes are the components; the class id is its least doc_id.
 
-Exact copies are one text throughout. Null texts count as empty; texts without words are a class with their exact copies
-only. Texts of fewer than SIZE words are one shingle. A null doc_id is a document of its own group of nulls: it takes
-part by its text, but never names a class unless all members are null. Repeated rows stay, each with its class.
+A text is a node by a 60-bit number of its digest, whatever doc_ids it occurs under, and exact copies are one text throughout.
+Null texts count as empty; texts without words are a class with their exact copies only. Texts of fewer than SIZE words are
+one shingle. A row with a null doc_id takes part by its text, but never names a class unless all members are null. Two
+texts under one doc_id are two. Repeated rows stay, each with its class. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_array, new_folder, write_file, written
+from .shared import inner_name, map_array, new_folder, write_file, written
 from .words import buffers, hashes, mix, pieces, shingles, spans
 
 SIZE, THRESHOLD = 5, 0.8
@@ -213,7 +214,7 @@ class Sampler:
 
 
 def _signed(docs: DataFrame, table, bands: int, rows: int) -> DataFrame:
-    """docs (id, key, text) with the text's total weight and its band keys."""
+    """docs (doc, id, text) with the text's total weight and its band keys, without the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * rows)
@@ -236,14 +237,14 @@ def _signed(docs: DataFrame, table, bands: int, rows: int) -> DataFrame:
                 total = np.zeros(b - a)
                 total[full] = np.add.reduceat(w.astype(np.float64), edges[:-1][full]) if len(full) else []
                 keys = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(key.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(total), keys], ["id", "key", "weight", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), batch.column("id").slice(a, b - a), pa.array(total), keys], ["doc", "id", "weight", "bands"])
 
-    return docs.mapInArrow(run, "id long, key string, weight double, bands array<long>")
+    return docs.mapInArrow(run, "doc long, id long, weight double, bands array<long>")
 
 
 def _filter_of(ids: DataFrame) -> bytes:
-    """A bitmap of 2**FILTER_BITS bits, with those of the ids' hashes set."""
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)) + 1
+    """A bitmap of 2**FILTER_BITS bits, with those of the hashes of ids (id, doc) set."""
+    place = F.pmod(F.xxhash64("id", "doc"), F.lit(1 << FILTER_BITS)) + 1
     blocks = ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
     out = bytearray((1 << FILTER_BITS) // 8)
     for r in blocks.collect():  # 4 KB a block, 8 MB in all at most
@@ -252,10 +253,10 @@ def _filter_of(ids: DataFrame) -> bytes:
 
 
 def _vectors(docs: DataFrame, ids: DataFrame, table) -> DataFrame:
-    """Weighted shingles of the texts whose ids are among ids (and of a few more)."""
+    """Weighted shingles of the texts at the rows among ids (id, doc), and at a few more."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(_filter_of(ids))
-    placed = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("place"))
+    placed = docs.select("id", "text", F.pmod(F.xxhash64("id", "doc"), F.lit(1 << FILTER_BITS)).alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits.value, np.uint8)
@@ -343,19 +344,20 @@ def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
     return own.join(several, "bucket", "left_semi")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """For each row of docs its doc_id, class_id (the least doc_id of its class), and key (a digest of the text)."""
+def _placed(docs: DataFrame, doc_id: str, text: str, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Each row of docs as (doc, id), id being its text's number; and each text's class_id and first, the text of the class's first row."""
     plain = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), plain.alias("text"))
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), plain.alias("text"))
     table = document_frequencies(docs)
-    signed = written(_signed(docs.select("id", F.sha1(F.col("text").cast("binary")).alias("key"), "text"), table, bands, rows), "near-signed")
-    # One row per text; equal texts have equal bands, and a null id comes last.
-    texts = signed.groupBy("key").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    named = texts.where(F.col("id").isNotNull())
-    members = named.select("id", "weight", F.explode("bands").alias("bucket"))
+    docs = docs.select("doc", text_number(F.col("text")).alias("id"), "text")
+    signed = written(_signed(docs, table, bands, rows), "near-signed")
+    # One row per text; equal texts have equal bands.
+    texts = signed.groupBy("id").agg(F.min("doc").alias("doc"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    members = texts.select("id", "doc", "weight", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(members.join(full, "bucket").select("bucket", "id", "weight", "n"), "near-buckets")
-    vectors = written(_vectors(docs, members.select("id").distinct(), table), "near-vectors").dropDuplicates(["id"])
+    members = written(members.join(full, "bucket").select("bucket", "id", "doc", "weight", "n"), "near-buckets")
+    # Of a text's copies the one of the least doc_id is read.
+    vectors = written(_vectors(docs, members.select("id", "doc").distinct(), table), "near-vectors").dropDuplicates(["id"])
     # The hub of a bucket is the text that meets most others in all its buckets: an original rather than one of its edited copies.
     met = members.groupBy("id").agg(F.sum("n").alias("met"))
     ranked = members.join(met, "id")
@@ -385,14 +387,28 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     more = written(_verified(rest, vectors, threshold), "near-more")
     if not more.isEmpty():
         label = components(links.select("a", "b").unionByName(more.select("a", "b")))
-    named = texts.join(label, "id", "left").select(F.col("key"), F.coalesce("component", "id").alias("class_id"))
-    return signed.select("id", "key").join(named, "key").select(F.col("id").alias("doc_id"), "class_id", "key")
+    placed = texts.join(label, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id")).alias("first"))
+    placed = placed.join(first, "component").select("id", F.col("first.doc").alias("class_id"), F.col("first.id").alias("first"))
+    return signed.select("doc", "id"), placed
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """For each row of docs its doc_id and class_id, the least doc_id of its class."""
+    every, placed = _placed(docs, doc_id, text, threshold, bands, rows)
+    return every.join(placed, "id").select(F.col("doc").alias("doc_id"), "class_id")
+
+
+def text_number(text: Column) -> Column:
+    """A 60-bit number of a text, from its SHA-1 digest."""
+    return F.conv(F.substring(F.sha1(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class: that of the least doc_id (of rows that repeat it, or of nulls only, any one)."""
-    found = classes(docs, doc_id, text)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    digest = F.sha1(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))
-    chosen = docs.withColumn("__text", digest).join(kept, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
-    return chosen.dropDuplicates([doc_id, "__text"]).drop("__text")
+    """docs with one row of each class: that of the least doc_id (of rows that repeat it, or of nulls only, any one of the least text)."""
+    _, placed = _placed(docs, doc_id, text, THRESHOLD, BANDS, ROWS)
+    named, number, own = (inner_name(docs.columns, c) for c in ("class_id", "text_number", "own_number"))
+    kept = placed.where("id = first").select(F.col("id").alias(number), F.col("class_id").alias(named))
+    mine = docs.withColumn(own, text_number(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    chosen = mine.join(kept, (F.col(own) == F.col(number)) & F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(named)), "left_semi")
+    return chosen.dropDuplicates([doc_id, own]).drop(own)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_array, new_folder, write_file, written
+from .shared import fresh, map_array, new_folder, write_file, written
 from .words import buffers, hashes, pieces, spans
 
 #: Tokens that a map task sorts at once.
@@ -403,6 +403,7 @@ _LOADED: dict[str, Model] = {}
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns keep with n_tokens, n_known, base_score and score (the model's log10 probability) of each whole text."""
     keep = [c for c in df.columns if c != text] if keep is None else keep
+    fresh(keep, "n_tokens", "n_known", "base_score", "score")
     names = [f"c{i}" for i in range(len(keep))]
     inner = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(f"`{text}`").cast("string").alias("text"))
 

@@ -52,13 +52,16 @@ def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(dot(a, b) / both)
 
 
+#: Rows of the matrix from linear sRGB to XYZ, each with the D65 white point's value.
+XYZ = ((0.4124564, 0.3575761, 0.1804375, 0.95047), (0.2126729, 0.7151522, 0.0721750, 1.0), (0.0193339, 0.1191920, 0.9503041, 1.08883))
+
+
 def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """CIE L*a*b* (D65) of an 8-bit sRGB colour."""
-    # sRGB's transfer curve and matrix, and the D65 white point.
+    # sRGB's transfer curve.
     linear = lambda c: F.when(c / 255.0 <= 0.04045, c / 255.0 / 12.92).otherwise(F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4)))
     x, y, z = (linear(c) for c in (r, g, b))
-    rows = ((0.4124564, 0.3575761, 0.1804375, 0.95047), (0.2126729, 0.7151522, 0.0721750, 1.0), (0.0193339, 0.1191920, 0.9503041, 1.08883))
-    white = [(x * p + y * q + z * s) / w for p, q, s, w in rows]
+    white = [(x * p + y * q + z * s) / w for p, q, s, w in XYZ]
     f = lambda t: F.when(t > (6 / 29) ** 3, F.cbrt(t)).otherwise(t / (3 * (6 / 29) ** 2) + 4 / 29)
     fx, fy, fz = map(f, white)
     return 116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz)
@@ -85,9 +88,37 @@ def normalized_set_number(text: Column) -> Column:
     return F.when(t.contains("-"), t).otherwise(F.concat(t, F.lit("-1")))
 
 
-def link_urls(html: Column, extension: str = "pdf") -> Column:
-    """Distinct absolute links with that extension, in order; escaped slashes are undone first."""
-    return F.array_distinct(F.regexp_extract_all(F.replace(html, F.lit("\\/"), F.lit("/")), F.lit(rf"(https?://[^\s\"'<>]+\.{extension})"), 1))
+def pure_integer(text: Column) -> Column:
+    """The number of a text that has digits only, between white space; else null."""
+    return F.when(F.trim(text).rlike("^[0-9]+$"), F.trim(text).try_cast("long"))
+
+
+def half_even(value: Column, scale: int) -> Column:
+    """Rounded to scale digits, ties to even. Ties are those of the shortest decimal form of the double."""
+    return F.bround(value, scale)
+
+
+def bag_label(bag: Column) -> Column:
+    return F.when(bag == 0, F.lit("Intro")).otherwise(F.concat(F.lit("Bag "), bag.cast("string")))
+
+
+def page_span(start: Column, end: Column) -> Column:
+    """1-based pages as text."""
+    one, two = (start + 1).cast("string"), (F.coalesce(end, start) + 1).cast("string")
+    return F.when(one == two, F.concat(F.lit("page "), one)).otherwise(F.concat(F.lit("pages "), one, F.lit("–"), two))
+
+
+def count_delta(total_seen: Column, inventory_qty: Column, status: Column) -> Column:
+    """(+n seen) or (−n seen) of a part whose count is off, else empty."""
+    d = total_seen - inventory_qty
+    sign = F.when(d < 0, F.concat(F.lit("−"), F.abs(d).cast("string"))).otherwise(F.concat(F.lit("+"), d.cast("string")))
+    return F.when((status == "bad") & d.isNotNull(), F.concat(F.lit("("), sign, F.lit(" seen)"))).otherwise(F.lit(""))
+
+
+def meta_line(set_name: Column, set_num: Column, n_parts: Column, num_pages: Column, reconciled: Column) -> Column:
+    """The parts that are there, joined by dots."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.concat_ws(" · ", some(set_name), F.concat(F.lit("#"), some(set_num)), F.concat(n_parts.cast("string"), F.lit(" parts")), F.concat(num_pages.cast("string"), F.lit(" pages")), F.when(reconciled, "reconciled").otherwise("vision-only"))
 
 
 def status(reconciled: Column, count_matches: Column) -> Column:

@@ -245,6 +245,58 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int = 5, itself: bool = F
     return kept.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
 
 
+def semihard(anchors: DataFrame, vectors: DataFrame, margin: float = 0.3) -> DataFrame:
+    """(anchor, negative): for each anchor (vec_id, label, embedding) the nearest vector of another label that is farther than its nearest
+    of its own label, but by less than margin; if there is none, the nearest of another label. Of equally far ones the first.
+
+    Anchors are a stated set; blocks of them meet blocks of the vectors, and each leaves a few numbers an anchor: first the distance of the
+    nearest positive, then, with that known, the best negatives.
+    """
+    a_blocks = _blocks(anchors.count(), QUERY_BLOCK)
+    v_blocks = max(_blocks(vectors.count(), GALLERY_BLOCK), min(8, vectors.sparkSession.sparkContext.defaultParallelism))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    plain = [F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")]
+    a = anchors.select(*plain, deal(a_blocks).alias("ab"))
+    v = vectors.select(*plain, deal(v_blocks).alias("vb")).withColumn("ab", every(a_blocks))
+
+    def far(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, order = left["vec_id"].to_numpy(), np.argsort(right["vec_id"].to_numpy())
+        others = right["vec_id"].to_numpy()[order]
+        kinds, own = np.array(right["label"].to_pylist(), object)[order], np.array(left["label"].to_pylist(), object)
+        gap = np.round(1 - np.round(_unit(left["embedding"].combine_chunks()) @ _unit(right["embedding"].combine_chunks())[order].T, 6), 6)
+        return ids, others, gap, own[:, None] == kinds[None, :]
+
+    def positives(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0))]
+        if len(left) and len(right):
+            ids, others, gap, same = far(left, right)
+            gap[~same | (ids[:, None] == others[None, :])] = np.inf
+            out.append((ids, gap.min(1)))
+        ids, near = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"vec_id": ids[np.isfinite(near)], "pos": near[np.isfinite(near)]})
+
+    right = v.groupBy("ab", "vb")
+    near = a.withColumn("vb", every(v_blocks)).groupBy("ab", "vb").cogroup(right).applyInArrow(positives, "vec_id long, pos double").groupBy("vec_id").agg(F.min("pos").alias("pos"))
+
+    def negatives(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))]
+        if len(left) and len(right):
+            ids, others, gap, same = far(left, right)
+            pos = left["pos"].to_numpy()[:, None]
+            for band in (True, False):
+                x = np.where(~same & ((gap > pos) & (gap < pos + margin) if band else True), gap, np.inf)
+                at = x.argmin(1)
+                best = x[np.arange(len(ids)), at]
+                real = np.isfinite(best)
+                out.append((ids[real], others[at][real], best[real], np.full(real.sum(), band)))
+        return pa.table(dict(zip(("anchor", "negative", "dist", "band"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+
+    known = a.join(near, "vec_id").withColumn("vb", every(v_blocks))
+    found = known.groupBy("ab", "vb").cogroup(right).applyInArrow(negatives, "anchor long, negative long, dist double, band boolean")
+    return found.groupBy("anchor").agg(F.min_by("negative", F.struct(~F.col("band"), "dist", "negative")).alias("negative"))
+
+
 def embedded(crops: DataFrame, encode, content: str = "content") -> DataFrame:
     """crops with embedding: encode(list of bytes) gives an array of vectors, a batch at a time; made once a worker if it has a method load()."""
     schema = StructType([*crops.schema.fields, StructField("embedding", ArrayType(FloatType()))])

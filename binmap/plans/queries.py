@@ -103,13 +103,6 @@ def bom_flag(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("is_parts_list", F.col("n_callouts") >= 12)
 
 
-@_q("SELECT scan_id, page_index, bag_marker FROM v_pages WHERE page_index BETWEEN 2 AND 6", PAGES)
-def page_limit(spark: SparkSession, d: str) -> DataFrame:
-    from binmap.sources.files import select_pages
-
-    return select_pages(views.pages(spark, d), "3-9,4", 1000, 5).select("scan_id", "page_index", "bag_marker")
-
-
 def _counted(spark: SparkSession, d: str) -> DataFrame:
     p = views.pages(spark, d)
     names = views.callouts(spark, d).select("color", "shape_desc").distinct().withColumn("key", C.vision_key(F.col("color"), F.col("shape_desc")))
@@ -177,12 +170,6 @@ def status_facet(spark: SparkSession, d: str) -> DataFrame:
     return parts.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("total_seen") - F.col("inventory_qty")).alias("delta"))
 
 
-@_q("SELECT p_partkey, p_name, p_size FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), '#7') OR contains(lower(p_type), 'red')")
-def search_parts(spark: SparkSession, d: str) -> DataFrame:
-    has = lambda c, t: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(t))
-    return views.table(spark, d, "part").where(has("p_name", "red") | has("p_brand", "#7") | has("p_type", "red")).select("p_partkey", "p_name", "p_size")
-
-
 @_q("SELECT l_orderkey AS crop_id, inv_seq, max(greatest(CAST(0 AS DOUBLE), l_discount)) AS score FROM lineitem JOIN part p ON l_partkey = p.p_partkey JOIN (SELECT p_brand, min(p_partkey) AS inv_seq FROM part GROUP BY p_brand) b ON p.p_brand = b.p_brand GROUP BY 1, 2")
 def closed_set_candidates(spark: SparkSession, d: str) -> DataFrame:
     part = views.table(spark, d, "part")
@@ -202,28 +189,6 @@ def alternatives_topk(spark: SparkSession, d: str) -> DataFrame:
     return matching.ranked(matching.blend(views.signals(spark, d)), 5).where("rank > 1")
 
 
-KNN = """v_sim AS (SELECT q.vec_id AS query_id, q.label AS ql, g.vec_id AS inv_seq, g.label AS gl, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])), 6) AS similarity
- FROM embeddings q, embeddings g WHERE q.vec_id % 4 = 0 AND g.vec_id % 4 <> 0),
-v_knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, inv_seq) AS rank FROM v_sim)"""
-
-
-def _neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
-    e = views.table(spark, d, "embeddings")
-    return matching.nearest(e.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.where("vec_id % 4 <> 0").select(F.col("vec_id").alias("inv_seq"), "embedding"), k)
-
-
-@_q("SELECT query_id, inv_seq, similarity, rank FROM v_knn WHERE rank <= 5", KNN)
-def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _neighbours(spark, d, 5)
-
-
-@_q("SELECT count(*) AS n, round(avg(CASE WHEN ql = gl THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM v_knn WHERE rank = 1", KNN)
-def retrieval_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    label = views.table(spark, d, "embeddings").select("vec_id", "label")
-    found = _neighbours(spark, d, 1).join(label.toDF("query_id", "ql"), "query_id").join(label.toDF("inv_seq", "gl"), "inv_seq")
-    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ql") == F.col("gl")).cast("double")), 9).alias("accuracy"))
-
-
 @_q("""SELECT t.doc_id AS page_index, CASE WHEN toxic = 1 THEN quality END AS bag_marker, coalesce(nullif(quality, 0), CAST(n_chars AS INTEGER)) AS printed, coalesce(callouts, 0) AS callouts FROM labels t
 LEFT JOIN (SELECT doc_id, n_chars, 1 AS callouts FROM documents) d ON t.doc_id = d.doc_id AND quality = 1 AND toxic = 0""")
 def two_pass_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -238,45 +203,16 @@ def two_pass_stats(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "labels").agg(F.count(F.lit(1)).alias("triaged"), F.count_if(need).alias("detailed"), F.count_if(~need).alias("skipped"))
 
 
-@_q("SELECT doc_id, sha256(text) AS sha FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
-def cache_hits(spark: SparkSession, d: str) -> DataFrame:
-    from binmap.sources.files import cache_split
-
-    docs = views.table(spark, d, "documents").select("doc_id", "text")
-    cache = docs.where("doc_id % 3 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).distinct()
-    return cache_split(docs, cache, "text")[0].select("doc_id", "sha")
-
-
-@_q("SELECT DISTINCT sha256(text) AS sha FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
-def cache_misses(spark: SparkSession, d: str) -> DataFrame:
-    from binmap.sources.files import cache_split
-
-    docs = views.table(spark, d, "documents").select("doc_id", "text")
-    cache = docs.where("doc_id % 3 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).distinct()
-    return cache_split(docs, cache, "text")[1].select("sha")
-
-
 @_q("SELECT l_returnflag, min(l_quantity) AS low, quantile_cont(l_quantity, 0.5) AS median, max(l_quantity) AS high FROM lineitem GROUP BY l_returnflag")
 def min_median_max(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.min("l_quantity").alias("low"), F.percentile("l_quantity", 0.5).alias("median"), F.max("l_quantity").alias("high"))
 
 
-@_q("SELECT event_id, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events")
-def payload_parse(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
 @_q("SELECT doc_id, greatest(1, coalesce(TRY_CAST(nullif(regexp_extract(text, '([0-9]+)\\s*[xX]', 1), '') AS INTEGER), 1)) AS quantity FROM documents")
 def quantity_parse(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "documents").select("doc_id", C.quantity(F.col("text")).alias("quantity"))
 
 
-@_q("SELECT page_id, len(list_distinct(regexp_extract_all(html, 'https?://[^\\s\"''<>]+'))) AS n_urls, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'https?://[^\\s\"''<>]+'))), ' ') AS urls FROM pages")
-def url_extract(spark: SparkSession, d: str) -> DataFrame:
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit(r"(https?://[^\s\"'<>]+)"), 1))
-    return views.table(spark, d, "pages").select("page_id", F.size(found).cast("long").alias("n_urls"), F.array_join(F.sort_array(found), " ").alias("urls"))
-
-
 @_q("SELECT label, vec_id, row_number() OVER (ORDER BY label, vec_id) - 1 AS idx FROM embeddings")
 def dataset_flatten(spark: SparkSession, d: str) -> DataFrame:
     """Places 0, 1, ... in order of (label, vec_id): numbers within a label plus the sizes of the labels before it."""
@@ -287,12 +223,6 @@ def dataset_flatten(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("i", inner).join(before, "label").select("label", "vec_id", (F.col("offset") + F.col("i")).alias("idx"))
 
 
-@_q("SELECT label, vec_id, 0 AS part FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT label, vec_id, 1 FROM embeddings WHERE vec_id % 3 = 0")
-def dataset_merge(spark: SparkSession, d: str) -> DataFrame:
-    e = views.table(spark, d, "embeddings").select("label", "vec_id")
-    return e.where("vec_id % 2 = 0").withColumn("part", F.lit(0)).unionByName(e.where("vec_id % 3 = 0").withColumn("part", F.lit(1)))
-
-
 LAB = """v_rgb AS (SELECT p_partkey, CAST(p_partkey % 256 AS DOUBLE) AS r, CAST(p_partkey * 7 % 256 AS DOUBLE) AS g, CAST(p_partkey * 13 % 256 AS DOUBLE) AS b FROM part),
 v_lin AS (SELECT p_partkey, CASE WHEN r / 255 <= 0.04045 THEN r / 255 / CAST(12.92 AS DOUBLE) ELSE pow((r / 255 + CAST(0.055 AS DOUBLE)) / CAST(1.055 AS DOUBLE), CAST(2.4 AS DOUBLE)) END AS r,
  CASE WHEN g / 255 <= 0.04045 THEN g / 255 / CAST(12.92 AS DOUBLE) ELSE pow((g / 255 + CAST(0.055 AS DOUBLE)) / CAST(1.055 AS DOUBLE), CAST(2.4 AS DOUBLE)) END AS g,
@@ -308,72 +238,3 @@ def lab_colors(spark: SparkSession, d: str) -> DataFrame:
     p = views.table(spark, d, "part").select("p_partkey", *((F.col("p_partkey") * m % 256).cast("double").alias(n) for n, m in (("r", 1), ("g", 7), ("bl", 13))))
     l, a, b = C.lab(F.col("r"), F.col("g"), F.col("bl"))
     return p.select("p_partkey", F.round(l, 5).alias("l"), F.round(a, 5).alias("a"), F.round(b, 5).alias("b"))
-
-
-@_q("""SELECT a.l_orderkey, a.l_linenumber FROM lineitem a WHERE a.l_quantity * a.l_linenumber BETWEEN 5 AND 200 AND NOT EXISTS
-(SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber < a.l_linenumber AND b.l_quantity > a.l_quantity)""")
-def box_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of a fitting area that no earlier box of their page covers: the gate first, then an anti join on the page."""
-    b = views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    area = F.col("l_quantity") * F.col("l_linenumber")
-    a, o = b.where(area.between(5, 200)).alias("a"), b.alias("o")
-    covered = (F.col("o.l_orderkey") == F.col("a.l_orderkey")) & (F.col("o.l_linenumber") < F.col("a.l_linenumber")) & (F.col("o.l_quantity") > F.col("a.l_quantity"))
-    return a.join(o, covered, "left_anti").select("l_orderkey", "l_linenumber")
-
-
-@_q("""SELECT a.vec_id AS anchor, coalesce(min_by(negative, struct_pack(d := dist, n := negative)) FILTER (WHERE dist > pos AND dist < pos + CAST(0.3 AS DOUBLE)), min_by(negative, struct_pack(d := dist, n := negative))) AS negative
-FROM (SELECT a.vec_id, n.vec_id AS negative, round(CAST(1 AS DOUBLE) - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(n.embedding AS DOUBLE[])), 6) AS dist, p.pos FROM embeddings a JOIN embeddings n ON a.label <> n.label
-JOIN (SELECT x.vec_id, min(round(CAST(1 AS DOUBLE) - list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6)) AS pos FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0 GROUP BY x.vec_id) p ON p.vec_id = a.vec_id WHERE a.vec_id % 50 = 0) a GROUP BY a.vec_id""")
-def semihard_negative(spark: SparkSession, d: str) -> DataFrame:
-    """For each anchor (ids divisible by 50) the nearest negative just beyond its nearest positive, else the hardest."""
-    e = views.table(spark, d, "embeddings")
-    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("anchor"), F.col("label").alias("al"), F.col("embedding").alias("ae"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block"))
-    g = e.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int"))
-    dist = F.round(1 - C.cosine(F.col("ae"), F.col("embedding")), 6)
-    both = a.join(g, "block").where("anchor <> vec_id").select("anchor", "vec_id", (F.col("al") == F.col("label")).alias("same"), dist.alias("dist"))
-    near = both.where("same").groupBy("anchor").agg(F.min("dist").alias("pos"))
-    order = F.struct("dist", "vec_id")
-    band = (F.col("dist") > F.col("pos")) & (F.col("dist") < F.col("pos") + 0.3)
-    found = both.where("not same").join(near, "anchor").groupBy("anchor").agg(F.min(F.when(band, order)).alias("x"), F.min(order).alias("y"))
-    return found.select("anchor", F.coalesce("x.vec_id", "y.vec_id").alias("negative"))
-
-
-def _levels(low: int | None, high: int | None) -> int:
-    """Levels that chains p -> 3p + 7 have at most among keys from low to high. They rise from -3 on and fall from -4 on, so none has a cycle."""
-    n = 0
-    if low is not None:
-        up, down = max(low, -3), min(high, -4)
-        while 3 * up + 7 <= high or 3 * down + 7 >= low:
-            up, down, n = 3 * up + 7, 3 * down + 7, n + 1
-    return n
-
-
-@_q("""WITH RECURSIVE tree(root, p, scale, depth) AS (SELECT p_partkey, p_partkey, CAST(1 AS BIGINT), 0 FROM part UNION ALL SELECT root, 3 * p + 7, scale * 2, depth + 1 FROM tree JOIN part ON p_partkey = 3 * p + 7 WHERE depth < 6)
-SELECT root, count(*) AS n, CAST(sum(scale) AS BIGINT) AS scale FROM tree GROUP BY root""")
-def lineage_recursive(spark: SparkSession, d: str) -> DataFrame:
-    """Each part with all it refers to, to any depth: one join on equality a level. The SQL stops after six levels."""
-    part = views.table(spark, d, "part").select("p_partkey")
-    level = part.select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("p"), F.lit(1).cast("long").alias("scale"))
-    every = level
-    for _ in range(_levels(*part.agg(F.min("p_partkey"), F.max("p_partkey")).first())):
-        level = level.select("root", (3 * F.col("p") + 7).alias("p"), F.col("scale") * 2).toDF("root", "p", "scale").join(part, F.col("p") == F.col("p_partkey"), "left_semi")
-        every = every.unionByName(level)
-    return every.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("scale").alias("scale"))
-
-
-@_q()
-def capacity_assign(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as scans, their lines as crops."""
-    lines = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scan_id"), (F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_partkey")).alias("crop_id"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").cast("long").alias("quantity"), (F.col("l_partkey") % 5).alias("inv_seq"), (F.col("l_discount") * 10).alias("confidence"))
-    other = F.array(F.struct(((F.col("inv_seq") + 1) % 5).alias("inv_seq"), F.lit(0.5).alias("score")))
-    crops = lines.withColumn("embedding_only", F.col("seq") % 2 == 0).withColumn("alternatives", other)
-    rooms = crops.select("scan_id").distinct().withColumn("inv_seq", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>"))).withColumn("quantity", (F.col("inv_seq") * 10).cast("long"))
-    return locating.assigned(crops, rooms)
-
-
-@_q("SELECT scan_id, key, array_to_string(bags, ' ') AS bags, array_to_string(list_transform(pages, lambda p: p + 1), ' ') AS pages, CAST(total_seen AS VARCHAR) AS total_seen, '' AS inventory_qty, 'False' AS reconciled, '' AS count_matches, '0.40' AS confidence FROM v_located", PAGES, CALLOUTS)
-def csv_rows(spark: SparkSession, d: str) -> DataFrame:
-    parts = locating.validated(locating.located(_counted(spark, d)).withColumn("inventory_qty", F.lit(None).cast("long")))
-    keyed = parts.withColumn("key", F.concat_ws("\t", F.col("scan_id").cast("string"), "key"))
-    rows = sinks.csv_rows(keyed)
-    return rows.withColumn("scan_id", F.substring_index("key", "\t", 1).cast("long")).withColumn("key", F.substring_index("key", "\t", -1))

@@ -1 +1 @@
-"""See the modules."""
+"""Pages and contents that arrive in streams."""

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from binmap.functions import columns as C
 from binmap.operators import locating, matching, segments
-from binmap.plans import sinks
 from binmap.sources import files
 
 PAGE = "scan_id long, page_index long, bag_marker long, candidate boolean, is_parts_list boolean"
@@ -63,39 +62,26 @@ def test_nearest_keeps_zero_vectors(spark):
     assert [r.inv_seq for r in matching.nearest(query, gallery, 4).orderBy("rank").collect()] == [0, 2, 1, 3]
 
 
-def test_page_ranges():
-    assert files.page_range("1-3,2,5", 9) == [0, 1, 2, 4] and files.page_range("8-20", 9) == [7, 8]
-    for bad in ("x", "5-2", "1,,2"):
-        with pytest.raises(ValueError):
-            files.page_range(bad, 9)
-
-
 def test_inventory_headers(spark, tmp_path):
     (tmp_path / "i.csv").write_text("Item No,Description,Color,Qty\n3001,Brick,5,2\n,none,1,1\n3002,Plate,red,Infinity\n")
     rows = files.load_inventory(spark, str(tmp_path / "i.csv")).orderBy("part_num").collect()
     assert [(r.part_num, r.color_id, r.quantity) for r in rows] == [("3001", 5, 2), ("3002", None, 0)]
 
 
-def test_csv_rows(spark):
-    parts = spark.createDataFrame([("k", [1], [0, 2], 3, None, False, None, 0.9)], "key string, bags array<long>, pages array<long>, total_seen long, inventory_qty long, reconciled boolean, count_matches boolean, confidence double")
-    assert list(sinks.csv_rows(parts).first()) == ["k", "1", "1 3", "3", "", "False", "", "0.90"]
-
-
 def test_keys_and_colours(spark):
     row = spark.range(1).select(C.vision_key(F.lit("light bluish gray color"), F.lit("plate 1 x 2")).alias("k"), C.inventory_key(F.lit("3001"), F.lit(None), F.lit(None)).alias("i"), C.quantity(F.lit("see 12 X")).alias("q")).first()
     assert row == ("vision:bluish gray light|1 2 plate x", "3001|None", 12)
 
 
-def test_lineage_goes_to_any_depth(spark, tmp_path):
-    from binmap.plans import queries
+def test_geometry_goes_to_any_depth(spark, tmp_path):
+    from binmap.plans import tables
 
-    spark.range(1, 20_001).toDF("p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(1, 3_001).toDF("p_partkey").write.parquet(str(tmp_path / "part.parquet"))
     want = {}
-    for root in range(1, 20_001):
+    for root in range(1, 3_001):
         p, n = root, 0
-        while p <= 20_000:
+        while p <= 3_000:
             p, n = 3 * p + 7, n + 1
-        want[root] = (n, 2**n - 1)
-    got = {r.root: (r.n, r.scale) for r in queries.lineage_recursive(spark, str(tmp_path)).collect()}
-    assert got == want and got[1] == (8, 255)
-    assert [queries._levels(*x) for x in ((None, None), (5, 5), (1, 10), (-17, -4))] == [0, 0, 1, 3]
+        want[root] = (n, 2.0 ** (n - 1))
+    got = {r.root: (r.n_triangles, r.max_scale) for r in tables.geometry_triangles(spark, str(tmp_path)).collect()}
+    assert got == want and got[1][0] >= 6

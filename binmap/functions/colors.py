@@ -87,10 +87,15 @@ def channels_of(name: Column) -> Column:
 
 
 def nearest(r: Column, g: Column, b: Column) -> Column:
-    """struct<distance, pos, name> of the named colour nearest in L*a*b*."""
-    own = C.lab(r, g, b)
-    far = [F.struct(C.color_distance(own, tuple(map(F.lit, lab_of(*rgb)))).alias("distance"), F.lit(i).alias("pos"), F.lit(name).alias("name")) for i, (_, name, *rgb) in enumerate(COLORS)]
-    return F.least(*far)
+    """struct<distance, pos, name> of the named colour nearest in L*a*b*. The colour is converted once and compared with a literal list."""
+    known = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("xyz", lab_of(*rgb), strict=True)), F.lit(i).alias("pos"), F.lit(name).alias("name")) for i, (_, name, *rgb) in enumerate(COLORS)))
+
+    def least(own: Column) -> Column:
+        far = lambda c: F.sqrt(sum((F.pow(own[n] - c[n], F.lit(2.0)) for n in "xyz"), F.lit(0.0)))
+        return F.array_min(F.transform(known, lambda c: F.struct(far(c).alias("distance"), c["pos"].alias("pos"), c["name"].alias("name"))))
+
+    own = F.struct(*(v.alias(n) for n, v in zip("xyz", C.lab(r, g, b), strict=True)))
+    return C.let(own, least)
 
 
 def name_scores(one: DataFrame, two: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ MIN_SCORE, ELEMENT_ID_SCORE, PART_NUM_SCORE, OTHER_CAP = 0.35, 1.0, 0.95, 0.9
 FULL_MISMATCH = 50.0
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Distinct runs of a-z and 0-9 of the lower-cased text, in order of first appearance; null gives none."""
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1))

@@ -1,22 +1,24 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
+"""An interpolated modified Kneser-Ney trigram model, counted in Spark and memory-mapped by workers.
 
-Words are hashed to 64 bits. Training goes in three rounds, each a map side that sorts and sums what a few
+Words are hashed to 64 bits. Training goes in four rounds, each a map side that sorts and sums what a few
 million tokens hold, and a reduce side that merges such runs and writes sorted arrays to the shared folder.
 
 1. Unigrams, by hash ranges: the sorted hashes and the running sums of their counts. A word's rank is its id.
-2. Bigrams, by ranges of (context id, word id) that hold about equal numbers of tokens, so that a context which a third of
-   all tokens have spans many ranges: sorted pair keys, their counts, and each context's numbers of words seen once, twice
-   and more often.
-3. Continuation counts (of how many contexts a word is the successor), by the ranges of round 1.
-
-Discounts come from the counts of counts of all pairs. A probability is the discounted pair estimate interpolated with the
-discounted continuation estimate, and that with the uniform distribution over the vocabulary and one unknown
-word. Nothing is pruned: the arrays grow with the corpus. The driver holds a few numbers per range.
-
-The order is two: in this kind of corpus almost every longer n-gram is new, and their arrays would not fit the disk limits.
+2. Trigrams u v w, by ranges of (v, w) that hold about equal numbers of tokens, so that a v which a third of
+   all tokens are spans many ranges. A range has the contexts v, behind each its words w, behind each pair the words u before it
+   with their counts: ids of four bytes and counts of one. How many u a pair has is its continuation count.
+3. What is known of each context u v, in the place of the pair: how many tokens follow, and how many words once, twice and more often.
+4. Continuation counts of words (of how many others a word is the successor), by the ranges of round 1.
+
+A probability is the discounted trigram estimate interpolated with the discounted estimate from the pair's continuations,
+that with the word's, and that with the uniform distribution over the vocabulary and one unknown word. Discounts come from
+the counts of counts of each order. Pairs at a text's beginning have nothing before them; they keep their counts.
+Nothing is pruned: the arrays grow with the corpus. The driver holds a few numbers per range. With order 2 the estimate
+of pairs is the last one, from their own counts.
 
 Null texts are empty (one token, the end). A null doc_id is trained on. An empty training set gives the
-uniform distribution over one unknown word. Repeated rows count each time.
+uniform distribution over one unknown word. Repeated rows count each time. A column of score()'s that is there already raises
+ValueError.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ from pyspark.sql import functions as F
 from .shared import fresh, map_array, new_folder, write_file, written
 from .words import buffers, hashes, pieces, spans
 
-#: Tokens that a map task sorts at once.
-RUN = 3_000_000
+ORDER = 3
+#: Tokens that a map task sorts at once; tokens that a range of pairs is meant to hold, and ranges at most.
+RUN, RANGE_TOKENS, MOST_RANGES = 3_000_000, 2_000_000, 1 << 18
 END = np.uint64(0x0123456789ABCDEF)
 RUNS = "bucket int, keys binary, counts binary"
 
@@ -68,14 +71,51 @@ def _runs(buckets: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(buckets[a])], pa.int32()), "keys": [_pack(keys[a:b])], "counts": [_pack_counts(counts[a:b])]})
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted keys of all runs of a bucket and their summed counts."""
-    keys = np.concatenate([_unpack(x) for x in table["keys"].to_pylist()])
-    counts = np.concatenate([_unpack_counts(x) for x in table["counts"].to_pylist()])
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the sums of their values."""
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    return (keys[first], *(np.add.reduceat(v[order], first) for v in values)) if len(keys) else (keys, *values)
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys of all runs of a bucket and their summed counts."""
+    return _summed(np.concatenate([_unpack(x) for x in table["keys"].to_pylist()]), np.concatenate([_unpack_counts(x) for x in table["counts"].to_pylist()]))
+
+
+def _triples(pair: np.ndarray, before: np.ndarray, counts: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (pair, word before), sorted, and their summed counts (each is one if counts is null). bits: of a word's id."""
+    if bits * 3 <= 64:
+        key = (pair << np.uint64(bits)) | before.astype(np.uint64)  # the pair's key has less than twice the bits
+        if counts is None:
+            key, counts = np.unique(key, return_counts=True)
+        else:
+            key, counts = _summed(key, counts)
+        return key >> np.uint64(bits), (key & np.uint64((1 << bits) - 1)).astype(np.int64), counts
+    order = np.lexsort((before, pair))
+    pair, before = pair[order], before[order]
+    first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (before[1:] != before[:-1])])) if len(pair) else np.empty(0, np.int64)
+    weight = np.ones(len(pair), np.int64) if counts is None else counts[order]
+    return pair[first], before[first], np.add.reduceat(weight, first) if len(first) else weight
+
+
+def _found(array: np.ndarray, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Where each value stands in array[low:high], which is sorted; -1 if it doesn't."""
+    left, right = low.copy(), high.copy()
+    while (open_ := left < right).any():
+        middle = (left + right) >> 1
+        less = open_ & (array[np.minimum(middle, len(array) - 1)] < value)
+        left = np.where(less, middle + 1, left)
+        right = np.where(open_ & ~less, middle, right)
+    at = np.minimum(left, max(len(array) - 1, 0))
+    return np.where((left < high) & (array[at] == value), left, -1) if len(array) else np.full(len(value), -1)
+
+
+def _capped(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers as bytes, and the places and numbers of those from 255 on."""
+    large = np.flatnonzero(values >= 255)
+    return np.minimum(values, 255).astype(np.uint8).tobytes(), np.stack([large, values[large]]).astype(np.int64).tobytes()
 
 
 def _of_counts(counts: np.ndarray) -> list[int]:
@@ -132,15 +172,16 @@ class Model:
     """Places and sizes of a trained model's arrays; the arrays are mapped when first used."""
 
     folder: str
+    order: int
     bits: int  # 2 ** bits ranges of hashes
     words: list[int]  # distinct words in each
     tokens: list[int]  # and tokens
     docs: int
-    ranges: int = 1  # of bigrams
+    ranges: int = 1  # of pairs
     filled: list[int] = field(default_factory=list)  # those with any
-    edges: dict[int, tuple[int, int, int]] = field(default_factory=dict)  # contexts at ends of ranges: words seen once, twice, more
-    pair_discounts: list[float] = field(default_factory=lambda: [0.0] * 4)
-    word_discounts: list[float] = field(default_factory=lambda: [0.0] * 4)
+    edges: dict[int, tuple[int, ...]] = field(default_factory=dict)  # contexts at ends of ranges: words seen once, twice, more, and all
+    begin: tuple[int, ...] = (0, 0, 0, 0)  # the same of a text's beginning as a context of two
+    discounts: list[list[float]] = field(default_factory=lambda: [[0.0] * 4] * 3)  # of words, pairs, trigrams
     word_types: list[int] = field(default_factory=lambda: [0] * 3)
     pairs: int = 0  # distinct bigrams
 
@@ -166,7 +207,7 @@ class Model:
     @cached_property
     def edge_arrays(self) -> tuple[np.ndarray, np.ndarray]:
         at = sorted(self.edges)
-        return np.array(at, np.int64), np.array([self.edges[i] for i in at], np.int64).reshape(-1, 3)
+        return np.array(at, np.int64), np.array([self.edges[i] for i in at], np.int64).reshape(-1, 4)
 
     def array(self, name: str, dtype) -> np.ndarray:
         cache = self.__dict__.setdefault("_arrays", {})
@@ -218,18 +259,22 @@ class Model:
         place = before + own * (word / (self.v + 1))
         return np.minimum(place * (self.ranges / max(1, self.n + self.docs)), self.ranges - 1).astype(np.int64)
 
-    def pair_ids(self, h: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each token and of the context before it (-1 unknown)."""
+    def neighbours(self, h: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of each token, of the one before it and of the one before that: v stands for a text's beginning, -1 for an unknown word."""
         distinct, back = np.unique(h, return_inverse=True)
         word = self.ids(distinct)[back]
-        context = np.concatenate([[-1], word[:-1]])
-        context[begins] = self.v
-        return context, word
+        one = np.concatenate([[-1], word[:-1]])
+        one[begins] = self.v
+        two = np.concatenate([[-1], one[:-1]])
+        two[begins] = self.v
+        return word, one, two if self.order > 2 else np.full(len(word), self.v)
+
+    @property
+    def id_bits(self) -> int:
+        return int(self.v + 1).bit_length()
 
-    def keyed(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct pair keys of known pairs, their ranges, and how often each is there."""
-        key, counts = np.unique(context.astype(np.uint64) * np.uint64(self.v + 1) + word.astype(np.uint64), return_counts=True)
-        return key, self.ranges_of_keys(key), counts
+    def pair_key(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return context.astype(np.uint64) * np.uint64(self.v + 1) + word.astype(np.uint64)
 
     def ranges_of_keys(self, key: np.ndarray) -> np.ndarray:
         context, word = np.divmod(key, np.uint64(self.v + 1))
@@ -237,31 +282,74 @@ class Model:
         before, own = self.mass(contexts)
         return self.range_of(before[back], own[back], word.astype(np.int64))
 
-    def pair_counts(self, key: np.ndarray) -> np.ndarray:
-        """How often sorted distinct pairs occurred in training."""
-        out = np.zeros(len(key), np.int64)
+    def _pairs_at(self, r: int, key: np.ndarray) -> np.ndarray:
+        """Places of sorted pairs within their range; -1 for those never seen."""
+        contexts, starts, words = (self.array(f"{n}-{r}", t) for n, t in (("context", np.uint32), ("start", np.uint32), ("next", np.uint32)))
+        context, word = (x.astype(np.int64) for x in np.divmod(key, np.uint64(self.v + 1)))
+        at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+        there = contexts[at] == context
+        low, high = starts[at].astype(np.int64), starts[at + 1].astype(np.int64)
+        return _found(words, low, np.where(there, high, low), word)
+
+    @staticmethod
+    def _wide(small: np.ndarray, large: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Capped numbers at places, with those that are larger."""
+        got = small[at].astype(np.int64)
+        if len(big := np.flatnonzero(got == 255)):
+            places, values = large.reshape(2, -1)
+            got[big] = values[np.searchsorted(places, at[big])]
+        return got
+
+    def counts(self, key: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted pairs, each with a word before it: the pair's continuation count and the trigram's count."""
+        pairs, triples = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        distinct, back = np.unique(key, return_inverse=True)
+        place = np.searchsorted(back, np.arange(len(distinct) + 1))
+        filled = set(self.filled)
+        for r, a, z in self._split(self.ranges_of_keys(distinct)):
+            if r not in filled:
+                continue
+            at = self._pairs_at(r, distinct[a:z])
+            starts, words, count, large = (self.array(f"{n}-{r}", t) for n, t in (("first", np.uint32), ("before", np.uint32), ("count", np.uint8), ("large", np.int64)))
+            low, high = (np.where(at >= 0, starts[at + k], 0).astype(np.int64) for k in (0, 1))
+            # At a beginning, and with order 2, a pair has one word before it and its own count.
+            plain = (distinct[a:z] // np.uint64(self.v + 1) == self.v) | (self.order == 2)
+            own = high - low
+            single = plain & (at >= 0)
+            own[single] = self._wide(count, large, low[single])
+            rows = slice(place[a], place[z])
+            of = back[rows] - a
+            pairs[rows] = own[of]
+            if self.order > 2:
+                spot = _found(words, low[of], high[of], before[rows])
+                got = np.zeros(len(spot), np.int64)
+                got[spot >= 0] = self._wide(count, large, spot[spot >= 0])
+                triples[rows] = got
+        return pairs, triples
+
+    def double_types(self, key: np.ndarray) -> np.ndarray:
+        """For sorted distinct pairs as contexts: the words seen behind it once, twice and more often, and all tokens there."""
+        out = np.zeros((len(key), 4), np.int64)
         filled = set(self.filled)
         for r, a, z in self._split(self.ranges_of_keys(key)):
             if r in filled:
-                keys, part = self.array(f"pair-{r}", np.uint64), key[a:z]
-                at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-                found = keys[at] == part
-                got = self.array(f"count-{r}", np.uint8)[at].astype(np.int64)
-                large = np.flatnonzero(found & (got == 255))
-                if len(large):
-                    big = self.array(f"large-{r}", np.int64).reshape(2, -1)
-                    got[large] = big[1][np.searchsorted(big[0], at[large])]
-                out[a:z] = np.where(found, got, 0)
+                at = self._pairs_at(r, key[a:z])
+                seen = np.flatnonzero(at >= 0)
+                n = len(self.array(f"next-{r}", np.uint32))
+                small, large = self.array(f"types-{r}", np.uint8), self.array(f"types-large-{r}", np.int64)
+                for k in range(4):
+                    out[a + seen, k] = self._wide(small, large, k * n + at[seen])
+        out[key == np.uint64(self.v) * np.uint64(self.v + 1) + np.uint64(self.v)] = self.begin
         return out
 
     def context_types(self, sorted_ids: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """For each context, the words seen behind it once, twice and more often."""
-        out = np.zeros((len(sorted_ids), 3), np.int64)
+        """For each context, the words seen behind it once, twice and more often, and the sum of their counts."""
+        out = np.zeros((len(sorted_ids), 4), np.int64)
         filled = set(self.filled)
         for r, a, z in self._split(self.range_of(before, own, np.zeros(len(before)))):
             if r in filled:
-                at_ids = self.array(f"context-{r}", np.int64)
-                types = self.array(f"types-{r}", np.int64).reshape(-1, 3)
+                at_ids = self.array(f"context-{r}", np.uint32)
+                types = self.array(f"kinds-{r}", np.int64).reshape(-1, 4)
                 at = np.minimum(np.searchsorted(at_ids, sorted_ids[a:z]), len(at_ids) - 1)
                 hit = at_ids[at] == sorted_ids[a:z]
                 out[a:z][hit] = types[at[hit]]
@@ -280,40 +368,49 @@ class Model:
         count = np.zeros(len(ids), np.int64)
         count[known] = self.mass(ids[known])[1]
         base = np.log10((count + 1) / (self.n + self.v + 1))[back]
-        d1 = np.array(self.word_discounts)
+        d1, d2, d3 = (np.array(d) for d in self.discounts)
         uniform = 1 / (self.v + 1)
         if self.pairs:
             cc = np.zeros(len(ids), np.int64)
             cc[known] = self.continuations(ids[known])
             spare = float(d1[1:] @ self.word_types) / self.pairs
-            lower = ((cc - d1[np.minimum(cc, 3)]) / self.pairs + spare * uniform)[back]
+            p = ((cc - d1[np.minimum(cc, 3)]) / self.pairs + spare * uniform)[back]
         else:
-            lower = np.full(len(h), uniform)
-        word = ids[back]
-        context = np.concatenate([[-1], word[:-1]])
-        context[begins] = self.v
-        p = lower.copy()
-        held, which = np.unique(context, return_inverse=True)
+            p = np.full(len(h), uniform)
+        word, one, two = self.neighbours(h, begins)
+        # Counts of all known pairs and trigrams of the batch, each looked up once.
+        pair, triple = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        sure = np.flatnonzero((word >= 0) & (one >= 0))
+        if len(sure):
+            key, before = self.pair_key(one[sure], word[sure]), np.maximum(two[sure], -1) + 1
+            order = np.lexsort((before, key))
+            key, before = key[order], before[order]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (before[1:] != before[:-1])]))
+            which = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
+            of_pair, of_triple = self.counts(key[new], before[new] - 1)
+            pair[sure[order]], triple[sure[order]] = of_pair[which], of_triple[which]
+
+        def mixed(p: np.ndarray, c: np.ndarray, d: np.ndarray, types: np.ndarray) -> np.ndarray:
+            total = types[:, 3]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.where(total > 0, (np.maximum(c - d[np.minimum(c, 3)], 0) + (types[:, :3] @ d[1:]) * p) / total, p)
+
+        held, which = np.unique(one, return_inverse=True)
         usable = held >= 0
-        if usable.any():
-            before, own = self.mass(held[usable])
-            d2 = np.array(self.pair_discounts)
-            total, spare = np.zeros(len(held), np.int64), np.zeros(len(held))
-            total[usable] = own
-            spare[usable] = self.context_types(held[usable], before, own) @ d2[1:]
-            n = total[which]
-            seen = np.flatnonzero(n > 0)
-            p[seen] = spare[which][seen] * lower[seen]
-            both = seen[word[seen] >= 0]
-            key, at = np.unique(context[both].astype(np.uint64) * np.uint64(self.v + 1) + word[both].astype(np.uint64), return_inverse=True)
-            c = self.pair_counts(key)[at]
-            p[both] += np.maximum(c - d2[np.minimum(c, 3)], 0)
-            p[seen] /= n[seen]
+        types = np.zeros((len(held), 4), np.int64)
+        types[usable] = self.context_types(held[usable], *self.mass(held[usable]))
+        p = mixed(p, pair, d2, types[which])
+        if self.order > 2:
+            sure = np.flatnonzero((one >= 0) & (two >= 0))
+            key, which = np.unique(self.pair_key(two[sure], one[sure]), return_inverse=True)
+            p[sure] = mixed(p[sure], triple[sure], d3, self.double_types(key)[which])
         return np.log10(p), base, known[back]
 
 
-def train(docs: DataFrame) -> Model:
-    """The model of the column text of docs."""
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """The model of the column text of docs, of order 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     folder = new_folder(spark, "kneser-ney")
     docs = docs.select(F.col("text").cast("string").alias("text"))
@@ -336,50 +433,89 @@ def train(docs: DataFrame) -> Model:
     runs = docs.mapInArrow(count_words, RUNS)
     got = {r.bucket: r for r in runs.groupBy("bucket").applyInArrow(merge_words, "bucket int, words long, tokens long").collect()}
     sizes = [got.get(b) for b in range(1 << bits)]
-    model = Model(folder, bits, [r.words if r else 0 for r in sizes], [r.tokens if r else 0 for r in sizes], got[-2].tokens if -2 in got else 0)
-    if (model.v + 1) ** 2 >= 1 << 64:
-        raise ValueError("the vocabulary is too large for 64-bit pair keys")
-    model.ranges = 1 << bits
+    model = Model(folder, order, bits, [r.words if r else 0 for r in sizes], [r.tokens if r else 0 for r in sizes], got[-2].tokens if -2 in got else 0)
+    if model.v + 1 >= 1 << 32:
+        raise ValueError("the vocabulary is too large for four-byte ids")
+    model.ranges = max(1 << bits, min(MOST_RANGES, model.n // RANGE_TOKENS))
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, begins in _gathered(batches, RUN):
-            key, ranges, counts = model.keyed(*model.pair_ids(h, begins))
-            yield from _runs(ranges, key, counts)
-
-    def merge_pairs(key: tuple, table: pa.Table) -> pa.Table:
+            word, one, two = model.neighbours(h, begins)
+            pair, before, counts = _triples(model.pair_key(one, word), two, None, model.id_bits)
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            edge = np.append(first, len(pair))
+            ranges = model.ranges_of_keys(pair[first])
+            cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
+            for a, z in zip(cuts, [*cuts[1:], len(first)], strict=True):
+                part = slice(edge[a], edge[z])
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(ranges[a])], pa.int32()), "keys": [_pack(pair[first[a:z]])], "sizes": [_pack_counts(np.diff(edge[a : z + 1]))], "before": [_pack_counts(before[part])], "counts": [_pack_counts(counts[part])]})
+
+    def merge_triples(key: tuple, table: pa.Table) -> pa.Table:
         r = key[0].as_py()
-        keys, counts = _merged(table)
-        context, word = np.divmod(keys, np.uint64(model.v + 1))
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        kinds = np.stack([np.add.reduceat((counts == 1).astype(np.int64), first), np.add.reduceat((counts == 2).astype(np.int64), first), np.add.reduceat((counts > 2).astype(np.int64), first)], 1)
-        large = np.flatnonzero(counts >= 255)
-        write_file(f"{folder}/pair-{r}", [keys.tobytes()])
-        write_file(f"{folder}/count-{r}", [np.minimum(counts, 255).astype(np.uint8).tobytes()])
-        write_file(f"{folder}/large-{r}", [np.stack([large, counts[large]]).astype(np.int64).tobytes()])
-        write_file(f"{folder}/context-{r}", [context[first].astype(np.int64).tobytes()])
-        write_file(f"{folder}/types-{r}", [kinds.tobytes()])
-        ends = sorted({0, len(first) - 1})
-        stats = [len(keys), *_of_counts(counts)]
-        for i in ends:
-            stats += [int(context[first[i]]), *kinds[i].tolist()]
-        words, times = np.unique(word.astype(np.int64), return_counts=True)
-        spread = list(_runs(np.searchsorted(model.word_base, words, "right") - 1, words.astype(np.uint64), times))
-        out = [{"range": r, "stats": stats, "bucket": None, "keys": None, "counts": None}]
-        for batch in spread:
-            out += [{"range": r, "stats": None, **row} for row in batch.to_pylist()]
-        return pa.Table.from_pylist(out, pa.schema([("range", pa.int32()), ("stats", pa.list_(pa.int64())), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    merged = docs.mapInArrow(count_pairs, RUNS).groupBy("bucket").applyInArrow(merge_pairs, "range int, stats array<long>, bucket int, keys binary, counts binary")
-    merged = written(merged, "kneser-ney-pairs")
-    of_pairs = np.zeros(4, np.int64)
-    for r in merged.where(F.col("stats").isNotNull()).select("range", "stats").collect():  # a row for each range
-        model.filled.append(r.range)
+        unpacked = [np.repeat(_unpack(k), _unpack_counts(n)) for k, n in zip(table["keys"].to_pylist(), table["sizes"].to_pylist(), strict=True)]
+        pair, before, counts = _triples(np.concatenate(unpacked), np.concatenate([_unpack_counts(x) for x in table["before"].to_pylist()]), np.concatenate([_unpack_counts(x) for x in table["counts"].to_pylist()]), model.id_bits)
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        context, word = (x.astype(np.int64) for x in np.divmod(pair[first], np.uint64(model.v + 1)))
+        own = np.diff(np.append(first, len(pair)))
+        plain = (context == model.v) | (order == 2)
+        own[plain] = counts[first[plain]]  # these have one word before them
+        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        kinds = np.stack([*(np.add.reduceat(x.astype(np.int64), start) for x in (own == 1, own == 2, own > 2)), np.add.reduceat(own, start)], 1)
+        small, large = _capped(counts)
+        for name, data in (("context", context[start].astype(np.uint32)), ("start", np.append(start, len(context)).astype(np.uint32)), ("next", word.astype(np.uint32)), ("first", np.append(first, len(pair)).astype(np.uint32)), ("before", before.astype(np.uint32)), ("kinds", kinds)):
+            write_file(f"{folder}/{name}-{r}", [data.tobytes()])
+        write_file(f"{folder}/count-{r}", [small])
+        write_file(f"{folder}/large-{r}", [large])
+        stats = [len(first), *_of_counts(own), *_of_counts(counts)]
+        for i in sorted({0, len(start) - 1}):
+            stats += [int(context[start[i]]), *kinds[i].tolist()]
+        out = [{"kind": 0, "bucket": r, "stats": stats}]
+        words, times = np.unique(word, return_counts=True)
+        for batch in _runs(np.searchsorted(model.word_base, words, "right") - 1, words.astype(np.uint64), times):
+            out += [{"kind": 1, **row} for row in batch.to_pylist()]
+        if order > 2:
+            # What this range knows of the contexts (before, context): nearly all there is, as most contexts lie in one range.
+            double = model.pair_key(before, np.repeat(context, np.diff(np.append(first, len(pair)))))
+            double, *sums = _summed(double, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64), counts)
+            ranges = model.ranges_of_keys(double)
+            cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
+            for a, z in zip(cuts, [*cuts[1:], len(double)], strict=True):
+                out.append({"kind": 2, "bucket": int(ranges[a]), "keys": _pack(double[a:z]), "counts": _pack_counts(np.concatenate([x[a:z] for x in sums]))})
+        return pa.Table.from_pylist(out, pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))]))
+
+    triples = docs.mapInArrow(count_triples, "bucket int, keys binary, sizes binary, before binary, counts binary")
+    merged = written(triples.groupBy("bucket").applyInArrow(merge_triples, "kind int, bucket int, keys binary, counts binary, stats array<long>"), "kneser-ney-pairs")
+    of_pairs, of_triples = np.zeros(4, np.int64), np.zeros(4, np.int64)
+    for r in merged.where("kind = 0").select("bucket", "stats").collect():  # a row for each range
+        model.filled.append(r.bucket)
         model.pairs += r.stats[0]
         of_pairs += np.array(r.stats[1:5])
-        for i in range(5, len(r.stats), 4):
-            context, *kinds = r.stats[i : i + 4]
-            model.edges[context] = tuple(np.add(model.edges.get(context, (0, 0, 0)), kinds).tolist())
-    model.pair_discounts = discounts(of_pairs).tolist()
+        of_triples += np.array(r.stats[5:9])
+        for i in range(9, len(r.stats), 5):
+            context, *kinds = r.stats[i : i + 5]
+            model.edges[context] = tuple(np.add(model.edges.get(context, (0, 0, 0, 0)), kinds).tolist())
+
+    def merge_doubles(key: tuple, table: pa.Table) -> pa.Table:
+        r = key[0].as_py()
+        keys = [_unpack(x) for x in table["keys"].to_pylist()]
+        sums = [_unpack_counts(x).reshape(4, -1) for x in table["counts"].to_pylist()]
+        double, *kinds = _summed(np.concatenate(keys), *np.concatenate(sums, axis=1))
+        begin = np.zeros(4, np.int64)
+        mark = np.uint64(model.v) * np.uint64(model.v + 1) + np.uint64(model.v)
+        if len(double) and double[-1] == mark:  # a text's beginning is no pair
+            begin = np.array([k[-1] for k in kinds])
+            double, kinds = double[:-1], [k[:-1] for k in kinds]
+        if r in set(model.filled):
+            full = np.zeros((4, len(model.array(f"next-{r}", np.uint32))), np.int64)
+            full[:, model._pairs_at(r, double)] = np.stack(kinds)
+            small, large = _capped(full.ravel())
+            write_file(f"{folder}/types-{r}", [small])
+            write_file(f"{folder}/types-large-{r}", [large])
+        return pa.table({"begin": pa.array([begin.tolist()], pa.list_(pa.int64()))})
+
+    if order > 2:
+        rows = merged.where("kind = 2").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(merge_doubles, "begin array<long>").collect()
+        model.begin = tuple(np.sum([r.begin for r in rows], axis=0).tolist()) if rows else (0, 0, 0, 0)
 
     def merge_continuations(key: tuple, table: pa.Table) -> pa.Table:
         b = key[0].as_py()
@@ -390,9 +526,9 @@ def train(docs: DataFrame) -> Model:
         return pa.table({"n": pa.array([[*_of_counts(full), int((full > 0).sum())]], pa.list_(pa.int64()))})
 
     of_words = np.zeros(5, np.int64)
-    for r in merged.where(F.col("bucket").isNotNull()).select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(merge_continuations, "n array<long>").collect():
+    for r in merged.where("kind = 1").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(merge_continuations, "n array<long>").collect():
         of_words += np.array(r.n)
-    model.word_discounts = discounts(of_words[:4]).tolist()
+    model.discounts = [discounts(n).tolist() for n in (of_words[:4], of_pairs, of_triples)]
     model.word_types = [int(of_words[0]), int(of_words[1]), int(of_words[4] - of_words[0] - of_words[1])]
     return model
 

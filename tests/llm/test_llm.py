@@ -317,40 +317,66 @@ def test_packing_does_not_depend_on_the_split(spark, docs):
     assert bins(rows.repartition(1)) == bins(rows.repartition(7)) and packing.best_fit(rows.limit(0)).count() == 0
 
 
-def test_kneser_ney_against_brute_force(spark, docs):
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_against_brute_force(spark, docs, order):
+    rng = random.Random(61)
+    few = [words(rng, 1) for _ in range(12)]
+    more = [(1000 + i, " ".join(rng.choice(few) for _ in range(rng.randint(0, 30))), "f") for i in range(80)]
+    docs = docs.unionByName(spark.createDataFrame(more, DOCS)).repartition(3)
     rows = [(r.text or "").lower().split() for r in docs.collect()]
-    model = kneser_ney.train(docs)
-    pairs, follows = {}, {}
+    model = kneser_ney.train(docs, order)
+    triples, pairs, raw, follows = {}, {}, {}, {}
     for w in rows:
-        for a, b in zip([None, *w], [*w, ""], strict=True):
-            pairs[a, b] = pairs.get((a, b), 0) + 1
-    for _, b in pairs:
-        follows[b] = follows.get(b, 0) + 1
+        padded = [None, None, *w, ""]
+        for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+            triples[a, b, c] = triples.get((a, b, c), 0) + 1
+            raw[b, c] = raw.get((b, c), 0) + 1
+    for _, b, c in triples:
+        pairs[b, c] = pairs.get((b, c), 0) + 1
+    pairs = {(b, c): raw[b, c] if b is None or order == 2 else n for (b, c), n in pairs.items()}
+    for _, c in pairs:
+        follows[c] = follows.get(c, 0) + 1
     of = lambda counts: kneser_ney.discounts([sum(c == i for c in counts.values()) for i in (1, 2, 3, 4)])
-    d2, d1 = of(pairs), of(follows)
+    d3, d2, d1 = of(triples), of(pairs), of(follows)
+    assert [list(map(float, d)) for d in (d1, d2)] == model.discounts[:2] and (order == 2 or list(map(float, d3)) == model.discounts[2])
     v, total, spare, unigrams = len(follows), {}, {}, {}
-    for (a, b), c in pairs.items():
-        total[a] = total.get(a, 0) + c
-        spare[a] = spare.get(a, 0) + d2[min(c, 3)]
-        unigrams[b] = unigrams.get(b, 0) + c
+    for counts, d in ((pairs, d2), (triples, d3)):
+        for (*a, _), c in counts.items():
+            total[tuple(a)] = total.get(tuple(a), 0) + c
+            spare[tuple(a)] = spare.get(tuple(a), 0) + d[min(c, 3)]
+    for w in rows:
+        for b in [*w, ""]:
+            unigrams[b] = unigrams.get(b, 0) + 1
     gamma = sum(d1[min(c, 3)] for c in follows.values()) / len(pairs)
 
-    def p(a, b):
-        c = follows.get(b, 0)
-        low = max(c - d1[min(c, 3)], 0) / len(pairs) + gamma / (v + 1)
-        if a not in total:
-            return low
-        c = pairs.get((a, b), 0)
-        return (max(c - d2[min(c, 3)], 0) + spare[a] * low) / total[a]
-
-    probe = spark.createDataFrame([(0, "unseen words here"), (1, " ".join(rows[3])), (2, f"{rows[4][0]} unseen {rows[5][0]}"), (3, None)], "doc_id long, text string")
+    def p(a, b, c):
+        n = follows.get(c, 0)
+        out = max(n - d1[min(n, 3)], 0) / len(pairs) + gamma / (v + 1)
+        for context, counts, d in (((b,), pairs, d2), ((a, b), triples, d3))[: order - 1]:
+            if context in total:
+                n = counts.get((*context, c), 0)
+                out = (max(n - d[min(n, 3)], 0) + spare[context] * out) / total[context]
+        return out
+
+    longest = max(rows, key=len)
+    probe = spark.createDataFrame([(0, "unseen words here"), (1, " ".join(longest)), (2, f"{few[0]} unseen {few[1]} {few[2]}"), (3, None), *((10 + i, t) for i, (_, t, _) in enumerate(more[:30])), (90, " ".join(rng.choice(few) for _ in range(400)))], "doc_id long, text string")
     n = sum(unigrams.values())
-    scored = kneser_ney.score(probe.withColumn("copy", F.col("text")), model, keep=["copy"]).collect()
-    for r in scored:
-        w = (r.copy or "").lower().split()
-        want = sum(math.log10(p(a, b)) for a, b in zip([None, *w], [*w, ""], strict=True))
-        base = sum(math.log10((unigrams.get(b, 0) + 1) / (n + v + 1)) for b in [*w, ""])
-        assert math.isclose(r.score, want, rel_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9) and r.n_tokens == len(w) + 1
+    assert model.n == n and model.v == v
+    for r in kneser_ney.score(probe.withColumn("copy", F.col("text")), model, keep=["copy"]).collect():
+        w = [None, None, *(r.copy or "").lower().split(), ""]
+        want = sum(math.log10(p(a, b, c)) for a, b, c in zip(w, w[1:], w[2:], strict=False))
+        base = sum(math.log10((unigrams.get(b, 0) + 1) / (n + v + 1)) for b in w[2:])
+        assert math.isclose(r.score, want, rel_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9) and r.n_tokens == len(w) - 2
+
+
+def test_kneser_ney_triples_without_room_for_one_key():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pair, before = rng.integers(0, 50, 4000).astype(np.uint64), rng.integers(0, 9, 4000)
+    for counts in (None, rng.integers(1, 5, 4000)):
+        one, two = (kneser_ney._triples(pair, before, counts, bits) for bits in (10, 30))
+        assert all((a == b).all() for a, b in zip(one, two, strict=True))
 
 
 def test_fingerprint_query_columns(spark, docs, tmp_path):

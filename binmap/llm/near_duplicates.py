@@ -40,8 +40,8 @@ LEAST_WEIGHT = 0.75
 RANGE_BYTES, MOST_RANGE_BITS = 8 << 20, 16
 #: Bits of a shingle's hash, and shingles that a task merges at once.
 _HASH_BITS, _MERGED = 48, 1 << 20
-#: Bits of the filter that keeps texts without candidates from being shuffled (8 MB).
-FILTER_BITS = 26
+#: Bits for each text with candidates in the filter that picks their rows, and bits of a filter at most (2**28: 32 MB); beyond, rows are joined.
+FILTER_RATIO, MOST_FILTER_BITS = 8, 28
 _TABLE = 12
 #: Stars around other members, before all pairs are compared that still lie apart.
 STARS = 2
@@ -242,21 +242,28 @@ def _signed(docs: DataFrame, table, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, id long, weight double, bands array<long>")
 
 
-def _filter_of(ids: DataFrame) -> bytes:
-    """A bitmap of 2**FILTER_BITS bits, with those of the hashes of ids (id, doc) set."""
-    place = F.pmod(F.xxhash64("id", "doc"), F.lit(1 << FILTER_BITS)) + 1
+def _filter_of(ids: DataFrame, size: int) -> bytes:
+    """A bitmap of 2**size bits, with those of the hashes of ids (id, doc) set."""
+    place = F.pmod(F.xxhash64("id", "doc"), F.lit(1 << size)) + 1
     blocks = ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-    out = bytearray((1 << FILTER_BITS) // 8)
-    for r in blocks.collect():  # 4 KB a block, 8 MB in all at most
+    out = bytearray((1 << size) // 8)
+    for r in blocks.collect():  # 4 KB a block, 2**MOST_FILTER_BITS bits in all at most
         out[(r.n - 1) * 4096 : (r.n - 1) * 4096 + len(r.bits)] = r.bits
     return bytes(out)
 
 
 def _vectors(docs: DataFrame, ids: DataFrame, table) -> DataFrame:
-    """Weighted shingles of the texts at the rows among ids (id, doc), and at a few more."""
+    """Weighted shingles of the texts at the rows among ids (id, doc), and at a few more.
+
+    The rows are picked by a bitmap whose size follows their number; if it would be too large to send round, by a join.
+    """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_filter_of(ids))
-    placed = docs.select("id", "text", F.pmod(F.xxhash64("id", "doc"), F.lit(1 << FILTER_BITS)).alias("place"))
+    size = max(18, (FILTER_RATIO * ids.count()).bit_length())
+    if size > MOST_FILTER_BITS:
+        named = ids.toDF("own_id", "own_doc")
+        docs = docs.join(named, (F.col("id") == F.col("own_id")) & F.col("doc").eqNullSafe(F.col("own_doc")), "left_semi")
+    bits = spark.sparkContext.broadcast(_filter_of(ids, size) if size <= MOST_FILTER_BITS else b"\xff" * (1 << 15))
+    placed = docs.select("id", "text", F.pmod(F.xxhash64("id", "doc"), F.lit(8 * len(bits.value))).alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits.value, np.uint8)

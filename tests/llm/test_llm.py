@@ -248,6 +248,18 @@ def test_near_duplicates_against_weighted_brute_force(spark):
     assert all(root(i) == root(c) for i, c in found.items())
 
 
+def test_near_duplicates_by_join(spark, monkeypatch):
+    """With more candidates than a bitmap is made for, their rows are joined: the classes are the same."""
+    rng = random.Random(24)
+    base = [words(rng, 80).split() for _ in range(6)]
+    rows = [(10 * i + c, " ".join([*b[: 10 * c], f"edit{c}", *b[10 * c + 1 :]])) for i, b in enumerate(base) for c in range(4)] + [(None, " ".join(base[0])), (100, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: sorted(map(str, near_duplicates.classes(table).collect()))
+    want = found()
+    monkeypatch.setattr(near_duplicates, "MOST_FILTER_BITS", 10)
+    assert found() == want
+
+
 def test_near_duplicates_without_ids_and_with_clashing_columns(spark):
     rng = random.Random(23)
     w = words(rng, 120).split()

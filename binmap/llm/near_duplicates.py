@@ -40,8 +40,8 @@ LEAST_WEIGHT = 0.75
 RANGE_BYTES, MOST_RANGE_BITS = 8 << 20, 16
 #: Bits of a shingle's hash, and shingles that a task merges at once.
 _HASH_BITS, _MERGED = 48, 1 << 20
-#: Bits for each text with candidates in the filter that picks their rows, and bits of a filter at most (2**28: 32 MB); beyond, rows are joined.
-FILTER_RATIO, MOST_FILTER_BITS = 8, 28
+#: Bits for each text with candidates in the filter that picks their rows, and bits of a filter at most (2**29: 64 MB); beyond, rows are joined.
+FILTER_RATIO, MOST_FILTER_BITS = 64, 29
 _TABLE = 12
 #: Stars around other members, before all pairs are compared that still lie apart.
 STARS = 2
@@ -281,13 +281,20 @@ def _vectors(docs: DataFrame, ids: DataFrame, table) -> DataFrame:
     return placed.mapInArrow(run, "id long, vector binary")
 
 
-def _read_vector(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _blobs(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column without copies."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = memoryview(column.buffers()[2] or b"")
+    return [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _read_vector(blob: bytes | memoryview) -> tuple[np.ndarray, np.ndarray]:
     n = len(blob) // 10
     h = np.frombuffer(blob, np.uint32, n).astype(np.uint64) | (np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
     return h, np.frombuffer(blob, np.float32, n, 6 * n)
 
 
-def similarity(x: bytes, y: bytes) -> float:
+def similarity(x: bytes | memoryview, y: bytes | memoryview) -> float:
     """Weighted Jaccard similarity of two vectors."""
     (a, v), (b, w) = _read_vector(x), _read_vector(y)
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -306,7 +313,7 @@ def _rarest(texts: DataFrame, table, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = [_read_vector(blob) for blob in batch.column("vector").to_pylist()]
+            read = [_read_vector(blob) for blob in _blobs(batch.column("vector"))]
             every = np.concatenate([h for h, _ in read]) if read else np.empty(0, np.uint64)
             rank = np.split(-weights(every, np.ones(len(every), np.int64), table), np.cumsum([len(h) for h, _ in read])[:-1]) if read else []
             for at, (h, w) in enumerate(read):
@@ -328,7 +335,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [similarity(x, y) for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)]
+            got = [similarity(x, y) for x, y in zip(_blobs(batch.column("of_a")), _blobs(batch.column("of_b")), strict=True)]
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got, pa.float64())], ["a", "b", "similarity"])
             yield out.filter(pa.array([x >= threshold for x in got], pa.bool_()))
 

@@ -38,11 +38,15 @@ from .words import buffers, hashes, pieces, spans
 
 ORDER = 3
 #: Tokens that a map task sorts at once; tokens that a range of pairs is meant to hold, and ranges at most.
-RUN, RANGE_TOKENS, MOST_RANGES = 3_000_000, 2_000_000, 1 << 18
+RUN, RANGE_TOKENS, MOST_RANGES = 2_000_000, 2_000_000, 1 << 18
 END = np.uint64(0x0123456789ABCDEF)
 RUNS = "bucket int, keys binary, counts binary"
 
 
+#: Bytes of text that are scored at once; n-grams are looked up once for all of them.
+SCORED = 4 << 20
+
+
 def _pack(sorted_numbers: np.ndarray) -> bytes:
     """Sorted numbers as compressed byte planes of their differences."""
     steps = np.diff(sorted_numbers.astype(np.uint64), prepend=np.uint64(0))
@@ -383,7 +387,8 @@ class Model:
         sure = np.flatnonzero((word >= 0) & (one >= 0))
         if len(sure):
             key, before = self.pair_key(one[sure], word[sure]), np.maximum(two[sure], -1) + 1
-            order = np.lexsort((before, key))
+            fits = self.id_bits * 3 <= 64
+            order = np.argsort((key << np.uint64(self.id_bits)) | before.astype(np.uint64)) if fits else np.lexsort((before, key))
             key, before = key[order], before[order]
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (before[1:] != before[:-1])]))
             which = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
@@ -547,7 +552,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
         m = _LOADED.setdefault(model.folder, model)
         for batch in batches:
             texts, sums = batch.column("text"), []
-            for a, b in pieces(texts, 8 << 20):
+            for a, b in pieces(texts, SCORED):
                 h, first = token_hashes(texts.slice(a, b - a))
                 begins = np.zeros(len(h), bool)
                 begins[first[:-1]] = True

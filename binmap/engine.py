@@ -69,6 +69,11 @@ def _chosen(pages: DataFrame, options: Options) -> DataFrame:
     return files.select_pages(pages, options.pages, most, options.max_pages)
 
 
+def load_result(spark: SparkSession, path: str) -> DataFrame:
+    """Results that Scan.write() wrote, a nested row a scan."""
+    return spark.read.json(f"{path}/result.json")
+
+
 def _scan(tables: tuple[DataFrame, DataFrame, DataFrame], num_pages: DataFrame, options: Options, reconciled: bool, crops: DataFrame | None = None) -> Scan:
     parts, bags, warnings = tables
     text = lambda x: F.lit(x).cast("string")
@@ -85,6 +90,26 @@ def scan_extracts(extracts: DataFrame, inventory: DataFrame | None = None, optio
     return _scan(locating.scan_extracts(marked, callouts, inventory, n), n, options, inventory is not None)
 
 
+TRIAGE = "bag_marker long, is_parts_list boolean, has_callouts boolean, printed_page_number long"
+
+
+def extract_two_pass(small: DataFrame, triage: Callable, detail: Callable, large: Callable[[DataFrame], DataFrame] | None = None, cache: DataFrame | None = None, write_to: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Page extracts for scan_extracts(), and how many pages were looked at closely.
+
+    Every page of small (scan_id, page_index, content) is triaged by a cheap model; those with callouts that aren't part lists are rendered
+    anew by large(pages), if given, and read by the detailed model. The models are transports as stores.answered() takes them.
+    """
+    asked = stores.answered(small, triage, cache, "content", "triage", write_to, make_caller=stores._once)
+    read = F.from_json("payload", TRIAGE)
+    first = asked.select("scan_id", "page_index", "content", read.alias("t")).select("scan_id", "page_index", "content", "t.bag_marker", F.col("t.printed_page_number").alias("printed"), *(F.coalesce(f"t.{c}", F.lit(False)).alias(c) for c in ("is_parts_list", "has_callouts")))
+    needed = locating.needs_detail(first).select("scan_id", "page_index", "content")
+    pages = needed if large is None else large(needed.drop("content"))
+    second = stores.vision_extracts(pages, detail, "detail", cache, write_to).withColumn("printed", F.col("printed_page_number"))
+    none = F.array().cast(second.schema["callouts"].dataType)
+    merged = locating.two_pass(first.drop("content"), second, none).withColumnRenamed("printed", "printed_page_number")
+    return merged, locating.two_pass_stats(first)
+
+
 def scan_images(images: DataFrame, inventory: DataFrame, recognise: Callable[[DataFrame], DataFrame] | None = None, gallery: DataFrame | None = None, encode=None, options: Options = Options()) -> Scan:  # noqa: B008
     """Engine B: page images (scan_id, page_index, content). recognise adds payload and error to crops (crop_id, content); gallery
     (inv_seq, embedding) is searched with what encode makes of a crop.

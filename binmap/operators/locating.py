@@ -278,12 +278,28 @@ def _few(lines: DataFrame) -> list:
     return rows
 
 
-def two_pass(triage: DataFrame, detail: DataFrame) -> DataFrame:
-    """The triage of each page with the detail of those that need it: callouts, on a page that isn't a parts list."""
-    needed = triage.where("has_callouts and not is_parts_list").select("page_index")
-    d = detail.join(needed, "page_index", "left_semi").select("page_index", F.col("bag_marker").alias("d_bag"), F.col("printed").alias("d_printed"), F.col("is_parts_list").alias("d_list"), "callouts")
-    joined = triage.join(d, "page_index", "left")
-    return joined.select("page_index", F.coalesce("bag_marker", "d_bag").alias("bag_marker"), F.coalesce(F.expr("nullif(printed, 0)"), "d_printed").alias("printed"), (F.col("is_parts_list") | F.coalesce("d_list", F.lit(False))).alias("is_parts_list"), F.coalesce("callouts", F.lit(0)).alias("callouts"))
+def needs_detail(triage: DataFrame) -> DataFrame:
+    """The pages of a triage that a detailed look is for: those with callouts that aren't part lists."""
+    return triage.where("has_callouts and not is_parts_list")
+
+
+def two_pass(triage: DataFrame, detail: DataFrame, none: Column | None = None) -> DataFrame:
+    """The triage of each page with the detail of those that need it; none: the callouts of a page without (0 by default).
+
+    The triage's bag marker counts, also 0; its printed number only if it isn't 0; either may say that it is a parts list. Pages are
+    told apart by page_index, and by scan_id where both have it.
+    """
+    by = [c for c in ("scan_id", "page_index") if c in triage.columns and c in detail.columns]
+    needed = needs_detail(triage).select(*by)
+    d = detail.join(needed, by, "left_semi").select(*by, F.col("bag_marker").alias("d_bag"), F.col("printed").alias("d_printed"), F.col("is_parts_list").alias("d_list"), "callouts")
+    joined = triage.join(d, by, "left")
+    return joined.select(*by, F.coalesce("bag_marker", "d_bag").alias("bag_marker"), F.coalesce(F.nullif(F.col("printed"), F.lit(0)), "d_printed").alias("printed"), (F.col("is_parts_list") | F.coalesce("d_list", F.lit(False))).alias("is_parts_list"), F.coalesce("callouts", F.lit(0) if none is None else none).alias("callouts"))
+
+
+def two_pass_stats(triage: DataFrame) -> DataFrame:
+    """(triaged, detailed, skipped): how many pages."""
+    need = F.col("has_callouts") & ~F.col("is_parts_list")
+    return triage.agg(F.count(F.lit(1)).alias("triaged"), F.count_if(need).alias("detailed"), F.count_if(~need).alias("skipped"))
 
 
 def results(parts: DataFrame, bags: DataFrame, warnings: DataFrame, scans: DataFrame) -> DataFrame:

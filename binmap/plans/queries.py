@@ -199,8 +199,7 @@ def two_pass_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @_q("SELECT count(*) AS triaged, count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS detailed, count(CASE WHEN NOT (quality = 1 AND toxic = 0) THEN 1 END) AS skipped FROM labels")
 def two_pass_stats(spark: SparkSession, d: str) -> DataFrame:
-    need = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    return views.table(spark, d, "labels").agg(F.count(F.lit(1)).alias("triaged"), F.count_if(need).alias("detailed"), F.count_if(~need).alias("skipped"))
+    return locating.two_pass_stats(views.table(spark, d, "labels").select((F.col("quality") == 1).alias("has_callouts"), (F.col("toxic") != 0).alias("is_parts_list")))
 
 
 @_q("SELECT l_returnflag, min(l_quantity) AS low, quantile_cont(l_quantity, 0.5) AS median, max(l_quantity) AS high FROM lineitem GROUP BY l_returnflag")

@@ -32,6 +32,7 @@ def test_scan_of_extracts_by_pages(spark, tmp_path):
     engine.main([str(tmp_path / "e.json"), "--out", str(tmp_path / "out"), "--inventory", str(tmp_path / "i.csv"), "--pages", "1-2", "--set", "7-1"])
     got = spark.read.json(str(tmp_path / "out/result.json")).first()
     assert [b.bag for b in got.bags] == [1] and got.num_pages == 3 and got.reconciled and got.set_num == "7-1" and got.parts[0].part_num == "3001" and got.parts[0].count_matches
+    assert engine.load_result(spark, str(tmp_path / "out")).count() == 1
     with pytest.raises(SystemExit):
         engine.main([str(tmp_path / "e.json"), "--pages", "5-2"])
 
@@ -70,6 +71,24 @@ def test_scan_of_images_by_vectors(spark):
     assert sorted((r.key, r.total_seen) for r in scan.parts.collect()) == [("A|Red", 1), ("B|Blue", 1)]
 
 
+def test_two_passes(spark):
+    pages = spark.createDataFrame([("s", i, bytearray(b"%d" % i)) for i in range(4)], "scan_id string, page_index long, content binary")
+
+    def triage(data):
+        i = int(data)
+        return {"bag_marker": [None, 1, 2, None][i], "has_callouts": i > 0, "is_parts_list": i == 3, "printed_page_number": 0}
+
+    def detail(data):
+        return {"bag_marker": 9, "printed_page_number": 5, "callouts": [{"color": "red", "shape_desc": "brick", "quantity": int(data)}]}
+
+    extracts, stats = engine.extract_two_pass(pages, triage, detail)
+    got = extracts.orderBy("page_index").collect()
+    assert stats.first() == (4, 2, 2) and [len(r.callouts) for r in got] == [0, 1, 1, 0]
+    assert [r.bag_marker for r in got] == [None, 1, 2, None] and [r.printed_page_number for r in got] == [None, 5, 5, None] and got[3].is_parts_list
+    parts = engine.scan_extracts(extracts).parts.collect()
+    assert [(p.key, p.total_seen, p.bags) for p in parts] == [("vision:red|brick", 3, [1, 2])]
+
+
 def test_documents(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"p0|p1|p2")
     (tmp_path / "b.pdf").write_bytes(b"broken")

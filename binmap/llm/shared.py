@@ -69,10 +69,18 @@ def _remove(uri: str) -> None:
             store.delete_dir(path)
 
 
+#: Files of a table for each core at most.
+FILES_PER_CORE = 8
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut, and the files outlive any executor."""
+    """df as a table in the shared folder: lineage is cut, and the files outlive any executor.
+
+    A table has at most FILES_PER_CORE files a core: many small ones cost more to make than to fill, as each needs
+    folders and permissions, which local file systems set by processes of their own.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

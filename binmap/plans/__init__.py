@@ -1 +1 @@
-"""See the modules."""
+"""Queries over the driver's tables with their SQL, and how results are written."""

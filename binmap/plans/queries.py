@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from binmap.functions import columns as C
 from binmap.operators import locating, matching, segments
-from binmap.plans import sinks
 from binmap.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]

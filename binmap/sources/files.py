@@ -22,7 +22,6 @@ ALIASES = {
 SAMPLE = 2048
 
 PAGE_SCHEMA = "page_index long, printed_page_number long, bag_marker long, is_parts_list boolean, callouts array<struct<quantity: long, color: string, shape_desc: string, printed_part_id: string>>, notes string"
-INVENTORY_SCHEMA = "inv_seq long, part_num string, name string, color_id int, color_name string, quantity long, element_id string, image_url string"
 
 
 def page_range(spec: str | None, num_pages: int) -> list[int]:

@@ -1,6 +1,9 @@
 """From raw documents to packed sequences: toxic documents and near copies go, then those that hold benchmark passages; what is left is packed.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns they got,
+whatever these are called. Null and empty texts are clean, not toxic unless the model says so of texts without words, near
+copies of each other, and packed as one word each. Null ids and repeated rows go through like others: a row that repeats another
+is a near copy. Very long texts are read whole. Empty tables give empty results; without labels no document is toxic.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, that of the least doc_id; of classes without ids any one of the least text."""
     return near_duplicates.one_of_each(docs)
 
 
@@ -27,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document in bins, with its place in them."""
+    """Every document in bins, with its place in them; one longer than a bin as several pieces. Ties are broken by doc_id, cluster and source."""
     return packing.best_fit(queries.sized(docs))
 
 

@@ -482,3 +482,29 @@ def test_viewing(spark):
     assert (card[0].label, card[0].pages, card[1].n_parts, card[1].n_bad) == ("Intro", "page 1", 2, 1)
     line = spark.range(1).select(C.meta_line(F.lit("Castle"), F.lit("7-1"), F.lit(3), F.lit(None).cast("int"), F.lit(True)).alias("m"), C.page_span(F.lit(0), F.lit(4)).alias("s"), C.pure_integer(F.lit(" 12 ")).alias("i"), C.pure_integer(F.lit("2x")).alias("n")).first()
     assert tuple(line) == ("Castle · #7-1 · 3 parts · reconciled", "pages 1–5", 12, None)
+
+
+def test_set_numbers(spark):
+    from binmap.operators import texts
+
+    rows = [(1, 0, "6559641 and 76307 Ages 9+"), (1, 1, "x"), (2, 0, "no number, 123 and 12345678"), (3, 0, None), (4, 0, "a 5000 b 600000"), (4, 1, "70000")]
+    rows += [(5, i, t) for i, t in enumerate(["", "", "", "", "4444 pieces", "", "55555"])]  # the fifth of seven pages isn't looked at
+    rows += [(6, 0, "10001 " + "." * 40 + " 20002 page" + "." * 40 + "30003")]
+    got = {r.scan_id: r.set_num for r in texts.set_number(spark.createDataFrame(rows, "scan_id long, page_index long, text string")).collect()}
+    assert got == {1: "76307", 2: None, 3: None, 4: "5000", 5: "55555", 6: "20002"}
+
+    def plain(text):
+        import re
+
+        out = []
+        for m in re.finditer(r"\b(\d{4,7})\b", text):
+            near = text[max(0, m.start() - 30) : m.end() + 30].lower()
+            out.append((m.group(1), max(0, 8 - len(m.group(1))) + 3 * any(w in near for w in texts.CONTEXT)))
+        return out
+
+    import random
+
+    rng = random.Random(8)
+    made = ["".join(rng.choice([" ", "12345", "age ", "é", "+", "77777 ", "pieces", "abc", "4444", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    scored = spark.createDataFrame([(t,) for t in made], "t string").select("t", texts.scored_numbers(F.col("t")).alias("s")).collect()
+    assert all([(x.number, x.score) for x in r.s] == plain(r.t) for r in scored)

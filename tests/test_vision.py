@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from binmap.operators import training
 from binmap.vision import detection, images, regions, rendering

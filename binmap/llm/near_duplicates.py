@@ -369,36 +369,36 @@ def _placed(docs: DataFrame, doc_id: str, text: str, threshold: float, bands: in
     texts = signed.groupBy("id").agg(F.min("doc").alias("doc"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     members = texts.select("id", "doc", "weight", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(members.join(full, "bucket").select("bucket", "id", "doc", "weight", "n"), "near-buckets")
+    members = written(members.join(full, "bucket").select("bucket", "id", "doc", "weight", "n"), "near-buckets", again=True)
     # Of a text's copies the one of the least doc_id is read.
     vectors = written(_vectors(docs, members.select("id", "doc").distinct(), table), "near-vectors").dropDuplicates(["id"])
     # The hub of a bucket is the text that meets most others in all its buckets: an original rather than one of its edited copies.
     met = members.groupBy("id").agg(F.sum("n").alias("met"))
     ranked = members.join(met, "id")
     hubs = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("met", (-F.col("id")).alias("minus"))).alias("hub"))
-    star = written(_star(members, hubs), "near-star")
-    links = written(_verified(star, vectors, threshold), "near-links")
+    star = written(_star(members, hubs), "near-star", again=True)
+    links = written(_verified(star, vectors, threshold), "near-links", again=True)
     label = components(links.select("a", "b"))
     for turn in range(STARS):
         # Buckets that still lie in several components: a star around another member, chosen by a hash.
-        mixed = written(_mixed(members, label), "near-mixed")
+        mixed = written(_mixed(members, label), "near-mixed", again=True)
         if mixed.isEmpty():
             break
         hubs = mixed.groupBy("bucket").agg(F.max_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
-        new = written(_star(mixed, hubs, "component").join(star, ["a", "b"], "left_anti"), "near-star")
-        links = written(links.unionByName(_verified(new, vectors, threshold)), "near-links")
+        new = written(_star(mixed, hubs, "component").join(star, ["a", "b"], "left_anti"), "near-star", again=True)
+        links = written(links.unionByName(_verified(new, vectors, threshold)), "near-links", again=True)
         star = star.unionByName(new)
         label = components(links.select("a", "b"))
     # What is left: texts of such buckets that share one of their rarest shingles, with enough weight from there on.
     own = _mixed(members, label).select("id", "weight", "component").distinct()
-    rare = written(_rarest(own.join(vectors, "id"), table, threshold), "near-rarest")
+    rare = written(_rarest(own.join(vectors, "id"), table, threshold), "near-rarest", again=True)
     one, two = rare.where("core").alias("one"), rare.alias("two")
     lighter = (F.col("one.weight") < F.col("two.weight")) | ((F.col("one.weight") == F.col("two.weight")) & (F.col("one.id") < F.col("two.id")))
     allowed = lighter & (F.col("one.weight") >= F.col("two.weight") * (threshold - 1e-6)) & (F.col("one.component") != F.col("two.component"))
     enough = F.least("one.left", "two.left") >= (F.col("one.weight") + F.col("two.weight")) * (threshold / (1 + threshold) - 1e-4)
     rest = one.join(two, (F.col("one.shingle") == F.col("two.shingle")) & allowed & enough)
     rest = rest.select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = written(_verified(rest, vectors, threshold), "near-more")
+    more = written(_verified(rest, vectors, threshold), "near-more", again=True)
     if not more.isEmpty():
         label = components(links.select("a", "b").unionByName(more.select("a", "b")))
     placed = texts.join(label, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))

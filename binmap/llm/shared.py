@@ -69,19 +69,22 @@ def _remove(uri: str) -> None:
             store.delete_dir(path)
 
 
-#: Files of a table for each core at most.
+#: Files for each core of a table that is written again and again, at least a quarter of the shuffle's partitions.
 FILES_PER_CORE = 8
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, again: bool = False) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and the files outlive any executor.
 
-    A table has at most FILES_PER_CORE files a core: many small ones cost more to make than to fill, as each needs
-    folders and permissions, which local file systems set by processes of their own.
+    again: one of many narrow tables behind a shuffle, as in rounds of an iteration. It gets fewer files: small ones cost more to make
+    than to fill, as each needs folders and permissions, which local file systems set by processes of their own.
     """
-    path = new_folder(df.sparkSession, name)
-    df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    if again:
+        df = df.coalesce(max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _local(uri: str) -> str | None:

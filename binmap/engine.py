@@ -114,8 +114,10 @@ def scan_images(images: DataFrame, inventory: DataFrame, recognise: Callable[[Da
     """Engine B: page images (scan_id, page_index, content). recognise adds payload and error to crops (crop_id, content); gallery
     (inv_seq, embedding) is searched with what encode makes of a crop.
 
-    The inventory is of all scans, or of each by a column scan_id; then crops meet the lines of their scan only.
+    The inventory holds for all scans; with a column scan_id it raises ValueError, as crops would meet other scans' lines.
     """
+    if "scan_id" in inventory.columns:
+        raise ValueError("the inventory must hold for all scans")
     n = _num_pages(images)
     found = detection.detections(_chosen(images, options), options.thresholds, options.read)
     cut = detection.callouts(found, ["scan_id", "page_index"], options.read)

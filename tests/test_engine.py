@@ -69,6 +69,8 @@ def test_scan_of_images_by_vectors(spark):
 
     scan = engine.scan_images(rows, inventory, gallery=gallery, encode=encode, options=engine.Options(use_color=False))
     assert sorted((r.key, r.total_seen) for r in scan.parts.collect()) == [("A|Red", 1), ("B|Blue", 1)]
+    with pytest.raises(ValueError):
+        engine.scan_images(rows, inventory.withColumn("scan_id", F.lit("s")))
 
 
 def test_two_passes(spark):

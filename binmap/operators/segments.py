@@ -105,5 +105,5 @@ def ordinal_warnings(pages: DataFrame) -> DataFrame:
     order = _in_order("scan_seq" if "scan_seq" in pages.columns else "page_index")
     found = _ordinals(pages).withColumn("before", F.coalesce(F.lag("__last").over(order), F.lit(0))).where(F.col("bag_marker") <= F.col("before"))
     # Fixed value: the text is part of the result.
-    message = F.format_string("page %d: OCR-read bag_marker=%d does not exceed the running sequence (%d); left as-is for bags.py's monotonic filter to handle", "page_index", "bag_marker", "before")
+    message = F.format_string("page %d: OCR-read bag_marker=%d does not exceed the running sequence (%d); left as-is for the monotonic filter to handle", "page_index", "bag_marker", "before")
     return found.select("scan_id", F.lit(5).alias("phase"), F.row_number().over(order).cast("long").alias("ord"), message.alias("message"))

@@ -169,7 +169,7 @@ def page_limit(spark: SparkSession, d: str) -> DataFrame:
     return files.select_pages(pages, "3-9,4", n, 5).select("scan_id", "page_index", "bag_marker", "scan_seq")
 
 
-@_q("""SELECT scan_id, 5 AS phase, row_number() OVER (PARTITION BY scan_id ORDER BY page_index) AS ord, printf('page %d: OCR-read bag_marker=%d does not exceed the running sequence (%d); left as-is for bags.py''s monotonic filter to handle', page_index, bag_marker, before) AS message
+@_q("""SELECT scan_id, 5 AS phase, row_number() OVER (PARTITION BY scan_id ORDER BY page_index) AS ord, printf('page %d: OCR-read bag_marker=%d does not exceed the running sequence (%d); left as-is for the monotonic filter to handle', page_index, bag_marker, before) AS message
 FROM (SELECT *, coalesce(lag(c + greatest(0, coalesce(m, 0))) OVER (PARTITION BY scan_id ORDER BY page_index), 0) AS before FROM
  (SELECT *, max(bag_marker - c) OVER (PARTITION BY scan_id ORDER BY page_index ROWS UNBOUNDED PRECEDING) AS m FROM
  (SELECT *, count(CASE WHEN bag_marker IS NULL AND candidate THEN 1 END) OVER (PARTITION BY scan_id ORDER BY page_index ROWS UNBOUNDED PRECEDING) AS c FROM v_pages))) WHERE bag_marker <= before""", PAGES)

@@ -115,7 +115,7 @@ def test_ordinals_follow_the_given_order(spark):
     rows = [(1, 4, None, True, False, 0), (1, 0, 5, False, False, 1), (1, 1, 3, False, False, 2), (1, 2, None, True, False, 3)]
     p = table(spark, rows, PAGE + ", scan_seq long")
     assert [r.assigned for r in segments.with_ordinals(p).orderBy("scan_seq").collect()] == [1, 5, 3, 6]
-    assert [r.message for r in segments.ordinal_warnings(p).collect()] == ["page 1: OCR-read bag_marker=3 does not exceed the running sequence (5); left as-is for bags.py's monotonic filter to handle"]
+    assert [r.message for r in segments.ordinal_warnings(p).collect()] == ["page 1: OCR-read bag_marker=3 does not exceed the running sequence (5); left as-is for the monotonic filter to handle"]
 
 
 CROP = "scan_id long, page_index long, callout_pos int, quantity long, seen_color string, inv_seq long, confidence double, components map<string,double>, alternatives array<struct<inv_seq: long, score: double>>, error string"

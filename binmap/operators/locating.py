@@ -223,8 +223,11 @@ def assigned(crops: DataFrame, inventory: DataFrame, capacity: bool = True) -> D
         key = F.col("inv_seq").cast("string")
     shared = "scan_id" not in inventory.columns
     lines = inventory.select(*([] if shared else ["scan_id"]), F.col("inv_seq").cast("long").alias("inv_seq"), key.alias("key"), F.col("quantity").cast("long").alias("quantity"))
-    # One inventory for all scans is read by each task once; it is broadcast, and so must be small: a set's some hundred lines.
-    common = crops.sparkSession.sparkContext.broadcast([tuple(r) for r in _few(lines)]) if shared else None
+    # One inventory for all scans is broadcast and read by each task once if it is small, as a set's some hundred lines are; of a larger one each scan gets the lines that its crops may take.
+    few = _few(lines) if shared else None
+    common = None if few is None else crops.sparkSession.sparkContext.broadcast(few)
+    if shared and common is None:
+        lines, shared = _wanted(crops).join(lines, "inv_seq"), False
     kind = crops.schema["crop_id"].dataType.simpleString()
     scan = crops.schema["scan_id"].dataType.simpleString()
     order = crops.select("scan_id", F.lit(1).alias("turn"), "crop_id", "seq", F.col("quantity").cast("long").alias("quantity"), F.col("inv_seq").cast("long").alias("inv_seq"), F.col("confidence").cast("double").alias("confidence"), "embedding_only", F.transform("alternatives", lambda a: F.struct(a["inv_seq"].cast("long").alias("inv_seq"), a["score"].cast("double").alias("score"))).alias("alternatives"), F.lit(None).cast("string").alias("key"))
@@ -267,15 +270,21 @@ def assigned(crops: DataFrame, inventory: DataFrame, capacity: bool = True) -> D
     return order.mapInArrow(run, f"scan_id {scan}, crop_id {kind}, inv_seq long, confidence double, diverted boolean")
 
 
-#: Lines of an inventory that all scans share, at most.
-MOST_LINES = 1_000_000
+#: Lines of an inventory that all scans share, at most, for it to be broadcast.
+MOST_LINES = 100_000
 
 
-def _few(lines: DataFrame) -> list:
+def _few(lines: DataFrame) -> list | None:
+    """The rows of at most MOST_LINES lines; None if there are more."""
     rows = lines.limit(MOST_LINES + 1).collect()
-    if len(rows) > MOST_LINES:
-        raise ValueError(f"an inventory for all scans has at most {MOST_LINES} lines; give each scan its own, with scan_id")
-    return rows
+    return None if len(rows) > MOST_LINES else [tuple(r) for r in rows]
+
+
+def _wanted(crops: DataFrame) -> DataFrame:
+    """(scan_id, inv_seq): the lines that each scan's crops were identified as, or may be diverted to."""
+    others = F.when(F.col("embedding_only"), F.transform("alternatives", lambda a: a["inv_seq"].cast("long")))
+    named = F.concat(F.array(F.col("inv_seq").cast("long")), F.coalesce(others, F.array().cast("array<long>")))
+    return crops.select("scan_id", F.explode(named).alias("inv_seq")).where("inv_seq is not null").distinct()
 
 
 def needs_detail(triage: DataFrame) -> DataFrame:

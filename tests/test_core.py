@@ -179,6 +179,20 @@ def test_capacity_of_each_scans_own_inventory(spark):
     assert got == {("a", 0): 1, ("a", 1): 2, ("a", 2): 2, ("b", 0): 1, ("b", 1): 1, ("b", 2): 2}
 
 
+def test_capacity_of_a_common_inventory_of_any_size(spark):
+    schema = "scan_id string, crop_id long, seq long, quantity long, inv_seq long, confidence double, embedding_only boolean, alternatives array<struct<inv_seq: long, score: double>>"
+    # lines 0 and 1 share a room of 1 piece, 2 has one of 2, 3 is unlimited; 9,999,999 is no line
+    key, room = F.when(F.col("inv_seq") < 2, F.lit("x")).otherwise(F.col("inv_seq").cast("string")), F.when(F.col("inv_seq") == 2, 2).when(F.col("inv_seq") == 3, 0).otherwise(1)
+    lines = lambda n: spark.range(n).toDF("inv_seq").select("inv_seq", key.alias("key"), room.alias("quantity"))
+    asked = [(0, True, [(2, 0.5)]), (1, True, [(0, 0.9), (2, 0.5)]), (1, True, [(2, 0.2)]), (1, True, [(2, 0.5)]), (0, False, [(3, 0.9)]), (2, True, [(3, 0.4)]), (None, True, [(3, 0.9)]), (9_999_999, True, None), (1_000, True, []), (1_000, True, [(9_999_999, 0.6)])]
+    crops = table(spark, [(s, i, i, 1, line, 0.7, alone, others) for s in ("a", "b", None) for i, (line, alone, others) in enumerate(asked)], schema)
+    found = lambda n: {(r.scan_id, r.crop_id): tuple(r)[2:] for r in locating.assigned(crops, lines(n)).collect()}
+    large = found(1_000_001)
+    assert large == found(1_001)
+    for s in ("a", "b", None):
+        assert [large[s, i][0] for i in range(len(asked))] == [0, 2, None, 2, 0, 3, None, 9_999_999, 1_000, 9_999_999]
+
+
 def test_reuse_is_told_from_a_mismatch(spark):
     both = {"brickognize": 0.9, "embedding": 0.1}
     parts, warnings = assemble(spark, [crop(0, 0, 1, 0, components=both), crop(1, 0, 1, 0, components=both)])

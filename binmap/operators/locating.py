@@ -7,11 +7,12 @@ are an array in its row, as results have them; they are bounded by one scan's ca
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from binmap.functions import columns as C
 from binmap.operators import matching, segments
@@ -95,7 +96,7 @@ def assembled(crops: DataFrame, pages: DataFrame, bags: DataFrame, inventory: Da
     alternatives. Crops are assigned by capacity first (if counts are to agree at all). Unidentified ones gather by their seen colour.
     Confidence is the mean, to three digits.
     """
-    seen = assignments(crops, pages, bags, inventory, capacity and counts)
+    seen = assignments(crops, pages, bags, inventory, capacity and counts, ("scan_id", "seen_color", "bag", "quantity", "place"))
     line = inventory.select(*(["scan_id"] if "scan_id" in inventory.columns else []), "inv_seq", C.inventory_key(F.col("part_num"), F.col("color_id"), F.col("color_name")).alias("line_key"), "name", "part_num", "color_name", "element_id", "image_url", F.col("quantity").cast("long").alias("line_qty"))
     joined = seen.join(line, [*(["scan_id"] if "scan_id" in inventory.columns else []), "inv_seq"], "left")
     there = F.col("line_key").isNotNull()
@@ -111,7 +112,7 @@ def assembled(crops: DataFrame, pages: DataFrame, bags: DataFrame, inventory: Da
         F.when(there & F.lit(counts), F.col("line_qty")).alias("inventory_qty"),
         (there & F.lit(counts)).alias("reconciled"),
         "bag",
-        "page_index",
+        F.col("place")["page_index"].alias("page_index"),
         "quantity",
         "place",
         F.when(there, F.col("confidence")).otherwise(0.0).alias("sure"),
@@ -119,14 +120,24 @@ def assembled(crops: DataFrame, pages: DataFrame, bags: DataFrame, inventory: Da
     return _grouped(found, C.half_even(F.avg("sure"), 3).alias("confidence")).select(*PART)
 
 
-def assignments(crops: DataFrame, pages: DataFrame, bags: DataFrame, inventory: DataFrame, capacity: bool = True) -> DataFrame:
-    """crops on pages that aren't part lists, with bag, place, raw_inv_seq (the identified line), and the line and confidence assigned."""
+def assignments(crops: DataFrame, pages: DataFrame, bags: DataFrame, inventory: DataFrame, capacity: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
+    """crops on pages that aren't part lists, with bag, place, raw_inv_seq (the identified line), and the line and confidence assigned.
+
+    columns: those that are wanted besides the line and confidence, all by default. Crops without a scan are left out.
+    """
+    # What the assignment asks of a crop is found before crops are dealt out; then they needn't take components and alternatives along.
+    asked = {"components": F.coalesce("components", F.create_map().cast("map<string,double>")), "__alone": embedding_only(), "__others": F.when(embedding_only(), F.col("alternatives"))}
+    crops = crops.where("scan_id is not null").withColumns(asked)
     seen = counted(crops, pages, bags)
-    seen = seen.withColumn("place", _place(seen)).withColumn("components", F.coalesce("components", F.create_map().cast("map<string,double>")))
-    order = seen.select("scan_id", F.col("place").alias("crop_id"), F.col("place").alias("seq"), "quantity", "inv_seq", "confidence", embedding_only().alias("embedding_only"), "alternatives")
-    given = assigned(order, inventory, capacity).select("scan_id", F.col("crop_id").alias("place"), F.col("inv_seq").alias("new_seq"), F.col("confidence").alias("new_confidence"))
-    both = seen.join(given, ["scan_id", "place"])
-    return both.select(*(c for c in seen.columns if c not in ("inv_seq", "confidence")), F.col("inv_seq").alias("raw_inv_seq"), F.col("new_seq").alias("inv_seq"), F.col("new_confidence").alias("confidence"))
+    seen = seen.withColumn("place", _place(seen))
+    fields = {c: F.col(c) for c in seen.columns if c not in ("inv_seq", "confidence", "__alone", "__others")} | {"raw_inv_seq": F.col("inv_seq")}
+    names = columns or list(fields)
+    # A crop goes through the assignment as a whole, as its own id: no join to find it again.
+    whole = F.struct(*(fields[c].alias(c) for c in names if c != "scan_id")).alias("crop_id")
+    signs = F.col("__alone").alias("embedding_only"), F.col("__others").alias("alternatives")
+    order = seen.select("scan_id", whole, F.col("place").alias("seq"), "quantity", "inv_seq", "confidence", *signs)
+    given = assigned(order, inventory, capacity, crops.select("scan_id", "inv_seq", *signs))
+    return given.select(*(F.col(c) if c == "scan_id" else F.col("crop_id")[c].alias(c) for c in names), "inv_seq", "confidence")
 
 
 def part_order() -> Column:
@@ -202,7 +213,7 @@ def embedding_only(components: str = "components") -> Column:
     return (at("brickognize") <= EPSILON) & (at("embedding") > EPSILON)
 
 
-def assigned(crops: DataFrame, inventory: DataFrame, capacity: bool = True) -> DataFrame:
+def assigned(crops: DataFrame, inventory: DataFrame, capacity: bool = True, asking: DataFrame | None = None) -> DataFrame:
     """Greedy assignment by capacity: (scan_id, crop_id, inv_seq, confidence, diverted).
 
     crops: scan_id, crop_id, seq, quantity, inv_seq, confidence, embedding_only, alternatives. inventory: inv_seq, quantity, and scan_id if
@@ -210,7 +221,8 @@ def assigned(crops: DataFrame, inventory: DataFrame, capacity: bool = True) -> D
     confidence each crop takes its winner, unless that rests on the embedding alone and its key's capacity is used up;
     then the first alternative of at least REROUTE with room, else none. Capacity is checked before a crop is added;
     0 is unlimited. One decision depends on all before it, so a scan's lines and then its crops are streamed in order through one
-    task, which holds what the scan's lines have used; scans go side by side.
+    task, which holds what the scan's lines have used; scans go side by side. asking: crops or more, with the columns that name lines, if
+    that is less work than crops themselves; they are read twice where many lines are shared.
     """
     if not capacity:
         none = F.col("inv_seq").isNull()
@@ -227,10 +239,9 @@ def assigned(crops: DataFrame, inventory: DataFrame, capacity: bool = True) -> D
     few = _few(lines) if shared else None
     common = None if few is None else crops.sparkSession.sparkContext.broadcast(few)
     if shared and common is None:
-        lines, shared = _wanted(crops).join(lines, "inv_seq"), False
-    kind = crops.schema["crop_id"].dataType.simpleString()
-    scan = crops.schema["scan_id"].dataType.simpleString()
-    order = crops.select("scan_id", F.lit(1).alias("turn"), "crop_id", "seq", F.col("quantity").cast("long").alias("quantity"), F.col("inv_seq").cast("long").alias("inv_seq"), F.col("confidence").cast("double").alias("confidence"), "embedding_only", F.transform("alternatives", lambda a: F.struct(a["inv_seq"].cast("long").alias("inv_seq"), a["score"].cast("double").alias("score"))).alias("alternatives"), F.lit(None).cast("string").alias("key"))
+        lines, shared = _wanted(crops if asking is None else asking).join(lines, "inv_seq"), False
+    made = T.StructType().add("scan_id", crops.schema["scan_id"].dataType).add("crop_id", crops.schema["crop_id"].dataType).add("inv_seq", "long").add("confidence", "double").add("diverted", "boolean")
+    order = crops.select("scan_id", F.lit(1).alias("turn"), "crop_id", "seq", F.col("quantity").cast("long").alias("quantity"), F.col("inv_seq").cast("long").alias("inv_seq"), F.col("confidence").cast("double").alias("confidence"), "embedding_only", F.when(F.col("embedding_only"), F.transform("alternatives", lambda a: F.struct(a["inv_seq"].cast("long").alias("inv_seq"), a["score"].cast("double").alias("score")))).alias("alternatives"), F.lit(None).cast("string").alias("key"))
     if not shared:
         order = order.unionByName(lines.withColumn("turn", F.lit(0)), allowMissingColumns=True)
     order = order.repartition("scan_id").sortWithinPartitions("scan_id", "turn", F.desc("confidence"), "seq")
@@ -267,7 +278,7 @@ def assigned(crops: DataFrame, inventory: DataFrame, capacity: bool = True) -> D
             mine = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([mine.column("scan_id"), mine.column("crop_id"), pa.array(lines, pa.int64()), pa.array(scores, pa.float64()), pa.array(moved, pa.bool_())], ["scan_id", "crop_id", "inv_seq", "confidence", "diverted"])
 
-    return order.mapInArrow(run, f"scan_id {scan}, crop_id {kind}, inv_seq long, confidence double, diverted boolean")
+    return order.mapInArrow(run, made)
 
 
 #: Lines of an inventory that all scans share, at most, for it to be broadcast.
